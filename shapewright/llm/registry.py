@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES = {
     "op1_mixing": "mixing",
     "op4_hilbert_sharding": "sharding",
+    "op5_byte_bpe": "bpe",
 }
 
 
