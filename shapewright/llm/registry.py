@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query, module.
 QUERIES = {
     "op1_mixing": "mixing",
+    "op2_language_filters": "langid",
     "op4_hilbert_sharding": "sharding",
     "op5_byte_bpe": "bpe",
 }
