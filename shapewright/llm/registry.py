@@ -13,6 +13,7 @@ QUERIES = {
     "op2_language_filters": "langid",
     "op4_hilbert_sharding": "sharding",
     "op5_byte_bpe": "bpe",
+    "op7_block_rules": "htmltext",
 }
 
 
