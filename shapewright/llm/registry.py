@@ -14,6 +14,7 @@ QUERIES = {
     "op4_hilbert_sharding": "sharding",
     "op5_byte_bpe": "bpe",
     "op7_block_rules": "htmltext",
+    "op8_reply_trees": "chat",
 }
 
 
