@@ -15,6 +15,7 @@ QUERIES = {
     "op5_byte_bpe": "bpe",
     "op7_block_rules": "htmltext",
     "op8_reply_trees": "chat",
+    "op9_consistent_parsing": "fingerprint",
 }
 
 
