@@ -13,6 +13,7 @@ QUERIES = {
     "op2_language_filters": "langid",
     "op4_hilbert_sharding": "sharding",
     "op5_byte_bpe": "bpe",
+    "op6_norm_sorted_topk": "topk",
     "op7_block_rules": "htmltext",
     "op8_reply_trees": "chat",
     "op9_consistent_parsing": "fingerprint",
