@@ -17,6 +17,7 @@ QUERIES = {
     "op7_block_rules": "htmltext",
     "op8_reply_trees": "chat",
     "op9_consistent_parsing": "fingerprint",
+    "op10_minhash_coordinates": "neardup",
 }
 
 
