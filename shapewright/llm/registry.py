@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES = {
     "op1_mixing": "mixing",
     "op2_language_filters": "langid",
+    "op3_debruijn_substrings": "substring",
     "op4_hilbert_sharding": "sharding",
     "op5_byte_bpe": "bpe",
     "op6_norm_sorted_topk": "topk",

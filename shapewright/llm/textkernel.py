@@ -104,7 +104,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64) + 1
+        lengths = byte_lengths(batch.column(column)) + 1
         total, start = np.cumsum(lengths), 0
         while start < batch.num_rows:
             done = total[start - 1] if start else 0
@@ -120,6 +120,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         yield joined(held)
 
 
+def byte_lengths(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text, or of each list of texts."""
+    if pa.types.is_list(texts.type):
+        sums = np.concatenate(([0], np.cumsum(byte_lengths(texts.flatten()))))
+        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(texts), 0)))
+        return sums[ends] - sums[np.concatenate(([0], ends[:-1]))]
+    return np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+
+
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
