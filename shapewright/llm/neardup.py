@@ -65,11 +65,11 @@ def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-SIGNED = "doc_id long, n long, node binary, signature binary, bitmap binary"
+SIGNED = "doc_id long, mark long, n long, node binary, signature binary, bitmap binary"
 
 
 def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """SIGNED for docs (doc_id, text); node is a digest of the set, and with the rest null where the set is empty."""
+    """SIGNED for docs (doc_id, text); mark is a hash of the text; node is a digest of the set, and with the rest null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=CHUNK):
@@ -88,9 +88,9 @@ def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 parity = np.packbits((np.bincount(cell, minlength=len(full) * BITS) & 1).astype(np.uint8).reshape(len(full), BITS), axis=1)
                 for j, i in enumerate(full):
                     nodes[i], signatures[i], bitmaps[i] = digest[j].tobytes(), signature[j].tobytes(), parity[j].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (nodes, signatures, bitmaps)]], [f.split()[0] for f in SIGNED.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (nodes, signatures, bitmaps)]], [f.split()[0] for f in SIGNED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, SIGNED)
 
 
 def short(node: str = "node"):
@@ -234,7 +234,7 @@ def confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int,
 
 
 def grouped(docs: DataFrame, width: int = WIDTH, like: int = LIKE) -> DataFrame:
-    """doc_id, n_shingles, node, component_id for each row of docs (doc_id, text). No other size of likeness than 80 or more: MATCHES is set for it."""
+    """doc_id, mark, n_shingles, component, component_id for each row of docs (doc_id, text); component is null for an empty set. No other size of likeness than 80 or more: MATCHES is set for it."""
     if like < LIKE:
         raise ValueError(f"like: {LIKE} at least, for which the signatures are made")
     rows = cut(signed(docs, width), "signed")
@@ -274,8 +274,24 @@ def grouped(docs: DataFrame, width: int = WIDTH, like: int = LIKE) -> DataFrame:
         found = components(links)
 
     least = found.join(members, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = classes.select("node", "doc_id").join(found, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return rows.select("doc_id", "n", "node").join(of_class, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_class = classes.select("node", "doc_id").join(found, "node", "left").join(least, "component", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "mark", F.col("n").alias("n_shingles"), "node").join(of_class, "node", "left").select("doc_id", "mark", "n_shingles", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH, like: int = LIKE) -> DataFrame:
+    """docs without the rows that another row of their component stands for: the one with the least id, then mark. Texts without words stay."""
+    rows = cut(grouped(docs, width, like), "groups")
+    first = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark")).alias("first"))
+    ranked = rows.where("component IS NOT NULL").join(first, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
+    gone = cut(ranked.where("NOT stays").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "gone")
+    twice = cut(ranked.where("stays").groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    marked = docs.withColumn("__m", F.xxhash64("text"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark"))
+    left = marked.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
+    if not twice.isEmpty():  # repeated rows of one id and text
+        blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
+        left = left.where(blank).unionByName(left.where(~blank).dropDuplicates(["doc_id", "__m"]))
+    return left.select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,3 +139,14 @@ def test_query_on_a_table(spark):
     got = neardup.op10(spark, sf).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_one_document_of_each_group_stays(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in "bcdfghklmn" for b in "aeiou"]
+    rows = [(i, t) for i, t in enumerate(family(rng, rng.choices(words, k=120), 40, 9))] + [(100, None), (100, None), (101, " \n"), (102, "one two"), (102, "one two"), (102, "three"), (None, "four five"), (None, "four five")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, mark string")
+    got = neardup.keep_first(docs).collect()
+    lows = {c for _, n, c in brute(rows) if n}
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(i, t) for i, t in rows[:40] if i in lows] + [(100, None), (100, None), (101, " \n"), (102, "one two"), (102, "three"), (None, "four five")], key=str)
+    assert neardup.keep_first(docs.limit(0)).collect() == []
