@@ -1,15 +1,64 @@
-"""From raw documents to encoded ones, stage by stage."""
+"""From raw documents to encoded ones: language ID, near-duplicates, repeated passages, mixing, tokenizing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. A stage's result is
+written as Parquet and read again before the next one, so a lost executor repeats one stage at most.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shapewright.llm import bpe, langid, mixing, neardup, substring
+from shapewright.llm.common import cut
+
+NEAR_WORDS = 5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are text in a learned language."""
+    return langid.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return neardup.keep_first(docs, NEAR_WORDS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document with a smaller id has; texts that lose nothing stay as they are."""
+    made = substring.remove(docs).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    return made.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mixture."""
+    return mixing.in_order(mixing.mix(docs, mixing.PARTS, mixing.OTHER_PARTS)).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and digests of the ids and of what they decode to."""
+    made = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    return made.select("doc_id", "lang", "source", F.expr("CAST(octet_length(ids) div 4 AS BIGINT)").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", passages),
+    ("mixing to target weights", mixture),
+    ("byte-level BPE", encoding),
+]
 
-STAGES: list = []
+#: Language models, MinHash and merges have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = cut(docs, f"stage{number}")
     return docs
