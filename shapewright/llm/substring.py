@@ -38,8 +38,6 @@ CHUNK = 4_000_000
 BUCKET_BYTES = 4_000_000
 #: Fingerprints keep so many bits; all, but for tests.
 FINGERPRINT_BITS = 64
-#: Lists of spans of so many documents are broadcast, holding SPANS spans at most; beyond that, texts are shuffled to them.
-DOCS, SPANS = 400_000, 1_000_000
 #: Windows of failed paths that are decided again at once.
 SUSPECTS = 1_000_000
 
@@ -203,11 +201,8 @@ def repeated_paths(rows: DataFrame) -> DataFrame:
 
 
 def joined(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """rows (doc, ...) with the list of their doc; texts stay where they are if the lists are few and short."""
-    lists = cut(lists, "lists")
-    size = lists.agg(F.count("*").alias("docs"), F.sum(F.size("spans")).alias("spans")).first()
-    small = size.docs <= DOCS and (size.spans or 0) <= SPANS
-    return rows.join(F.broadcast(lists) if small else lists, "doc", how)
+    """rows (doc, ...) with the list of their doc. Both sides are shuffled, at any size: lists grow with the corpus."""
+    return rows.join(lists.hint("merge"), "doc", how)
 
 
 def digests(rows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -269,7 +264,7 @@ ADDED = ("n_words", "n_removed", "kept")
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_words, n_removed and kept, the words that stay joined by one space.
 
-    A table in which an id occurs again is brought to one row for each id first; otherwise texts stay where they are."""
+    A table in which an id occurs again is brought to one row for each id first."""
     own = [c for c in docs.columns if c not in ADDED]
     ids = docs.groupBy(F.col(id_col).cast("bigint").alias("doc")).agg(F.count("*").alias("n"))
     repeats = not ids.where("n > 1").isEmpty()
