@@ -1,0 +1,21 @@
+"""Running totals over an order, without bringing all rows to one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def running_total(rows: DataFrame, order: str, value: Column, width: int = 10_000) -> DataFrame:
+    """rows with running, the sum of value up to each by a whole-numbered order: inside ranges of order, plus the ranges before.
+
+    Only one row for each range is summed across ranges, and again by blocks of ranges."""
+    own = rows.withColumn("__v", value).withColumn("__range", F.expr(f"CAST(floor({order} / {width}) AS BIGINT)"))
+    inside = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = own.groupBy("__range").agg(F.sum("__v").alias("__s")).withColumn("__block", F.expr(f"CAST(floor(__range / {width}) AS BIGINT)"))
+    before = Window.partitionBy("__block").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.groupBy("__block").agg(F.sum("__s").alias("__t"))
+    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for width * width values of order
+    blocks = blocks.select("__block", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__b"))
+    starts = sums.withColumn("__o", F.coalesce(F.sum("__s").over(before), F.lit(0))).join(blocks, "__block").select("__range", (F.col("__o") + F.col("__b")).alias("__start"))
+    return own.join(starts, "__range").withColumn("running", F.sum("__v").over(inside) + F.col("__start")).drop("__v", "__range", "__start")
