@@ -61,24 +61,45 @@ def expand(spark: SparkSession, expression: str) -> list[tuple[str, int]]:
     """(path, bytes) of all files that the expression means, by path. Works on any Hadoop file system; ** means any depth."""
     expression = expression.removeprefix("file://") if expression.startswith("file:///") else expression
     expression = expression if "://" in expression else os.path.abspath(os.path.expanduser(expression))
+    if "://" not in expression:
+        return expand_local(expression)
     fs, root = _filesystem(spark, base_of(expression))
     if not fs.exists(root):
         return []
-    plain = lambda p: p.removeprefix("file:") if p.startswith("file:/") and "://" not in expression else p
     if fs.getFileStatus(root).isFile():
-        found = [(plain(root.toString()), fs.getFileStatus(root).getLen())] if root.toString().rstrip("/") == expression.rstrip("/") or base_of(expression) == expression.rstrip("/") else []
-        return found
+        return [(root.toString(), fs.getFileStatus(root).getLen())]
     out, listed = [], fs.listFiles(root, True)
     pattern = None if base_of(expression) == (expression.rstrip("/") or "/") else expression
     while listed.hasNext():
         status = listed.next()
-        path = plain(status.getPath().toString())
+        path = status.getPath().toString()
         if hidden(path, expression) or pattern and not matches(path, pattern):
             continue
         out.append((path, status.getLen()))
     return sorted(out)
 
 
+def expand_local(expression: str) -> list[tuple[str, int]]:
+    """expand() for the driver's own file system, without a call to the JVM for each file."""
+    root = base_of(expression)
+    if os.path.isfile(root):
+        return [(root, os.path.getsize(root))]
+    pattern = None if root == (expression.rstrip("/") or "/") else expression
+    out, folders = [], [root]
+    while folders:
+        try:
+            entries = list(os.scandir(folders.pop()))
+        except FileNotFoundError:
+            continue
+        for e in entries:
+            if e.is_dir(follow_symlinks=False):
+                if not e.name.startswith(".") or e.name in expression.split("/"):
+                    folders.append(e.path)
+            elif e.is_file() and not hidden(e.path, expression) and (pattern is None or matches(e.path, pattern)):
+                out.append((e.path, e.stat().st_size))
+    return sorted(out)
+
+
 def matches(path: str, pattern: str) -> bool:
     return PurePosixPath(path).full_match(pattern, case_sensitive=True)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -76,6 +77,11 @@ def facts(path: str, size: int, opened, **options) -> dict:
     return row
 
 
+def listing_table(spark: SparkSession, files: list[tuple[int, str, int]]) -> DataFrame:
+    ids, paths, sizes = zip(*files) if files else ((), (), ())
+    return spark.createDataFrame(pa.table({"file_id": pa.array(ids, pa.int64()), "path": pa.array(paths, pa.string()), "size_bytes": pa.array(sizes, pa.int64())}))
+
+
 def profile(spark: SparkSession, files: list[tuple[int, str, int]], persist: bool = True, **options) -> DataFrame:
     """FILES for a listing (file_id, path, size_bytes).
 
@@ -98,16 +104,16 @@ def profile(spark: SparkSession, files: list[tuple[int, str, int]], persist: boo
                 yield rows(made)
 
     out = None
-    listed = "file_id long, path string, size_bytes long"
     width = spark.sparkContext.defaultParallelism
     if local or not far:
-        table = spark.createDataFrame(local, listed).repartition(1 if len(local) < 10 else min(len(local), 4 * width))
+        # a mark of its own keeps Spark from taking an earlier profile of the same names and sizes from its cache
+        table = listing_table(spark, local).withColumn("scan", F.lit(uuid.uuid4().hex)).repartition(1 if len(local) < 10 else min(len(local), 4 * width))
         out = table.mapInArrow(run, FILES)
     if far:
-        ids = F.broadcast(spark.createDataFrame(far, listed))  # the driver's own listing, limited by its ceiling
+        ids = F.broadcast(listing_table(spark, far))  # the driver's own listing, limited by its ceiling
         content = spark.read.format("binaryFile").load([p for _, p, _ in far]).select(F.col("path").alias("p"), "content")
         same = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):/+", "$1:/")  # noqa: E731  stores differ in how they write their root
-        read = ids.join(content, same("path") == same("p")).select("file_id", "path", "size_bytes", "content").mapInArrow(run, FILES)
+        read = ids.join(content, same("path") == same("p")).select("file_id", "path", "size_bytes", "content", F.lit(uuid.uuid4().hex).alias("scan")).mapInArrow(run, FILES)
         out = read if out is None else out.unionByName(read)
     return out.persist() if persist else out
 

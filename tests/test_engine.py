@@ -283,6 +283,15 @@ def test_values_and_names():
         codes.severity("COUNT_CHANGED")
 
 
+def test_a_second_scan_sees_what_changed(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    first = scan(spark, str(tmp_path))
+    assert first.to_dict()["file_verdicts"][0]["normalized_column_names"] == ["a", "b"]
+    (tmp_path / "a.csv").write_text("c,d\n1,2\n")
+    assert scan(spark, str(tmp_path)).to_dict()["file_verdicts"][0]["normalized_column_names"] == ["c", "d"]
+    first.release()
+
+
 def test_relations(spark):
     df = spark.createDataFrame([(["a", "b"], ["a", "b"]), (["b", "a"], ["a", "b"]), (["a", "b", "c"], ["a"]), (["a"], ["a", "b"]), (["a", "x"], ["a", "b"]), (["x"], ["a"]), ([], [])], "a array<string>, b array<string>")
     got = df.select(structure.relation(F.col("a"), F.col("b")).alias("r"), structure.described(F.col("a"), F.col("b")).alias("d"), structure.jaccard(F.col("a"), F.col("b")).alias("j")).collect()
