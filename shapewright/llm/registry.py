@@ -27,4 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For what SQL can express. Schedules, learned models, merges, curves, parsers and fingerprints are tested by brute force."""
+    from shapewright.llm.oracles import SQL
+
+    return {name: SQL[name.split("_")[0]] for name in QUERIES if name.split("_")[0] in SQL}
