@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ PREFIX = PAIRS - COMMON + 1
 BITS = 2048
 #: Classes of a post that are compared in one task.
 BLOCK = 2_048
+#: Posts of so many classes are compared many at a time, in tasks of about TASK_ROWS rows.
+FEW, TASK_ROWS = 48, 4_000
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 CHUNK = 2_000_000
@@ -125,47 +128,79 @@ def shared_posts(classes: DataFrame) -> DataFrame:
 
 
 class Side:
-    """Classes as arrays."""
+    """Classes as arrays; numbering gives equal components equal numbers on both sides."""
 
-    def __init__(self, table: pa.Table):
-        self.node = table.column("node").to_pylist()
+    def __init__(self, table: pa.Table, numbering: dict):
+        self.node = np.array(table.column("node").to_pylist(), object)
         self.n = np.asarray(table.column("n")).astype(np.int64)
         self.signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
         self.bitmap = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        # equal components have equal numbers, in this side only
-        self.component = table.column("component").to_pylist()
+        self.component = np.array([numbering.setdefault(x, len(numbering)) for x in table.column("component").to_pylist()], np.int64)
+
+    def take(self, at: np.ndarray) -> Side:
+        out = Side.__new__(Side)
+        for name, values in vars(self).items():
+            setattr(out, name, values[at])
+        return out
+
+
+def likely(a: Side, i: np.ndarray, b: Side, j: np.ndarray, like: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of index pairs, those that sizes, bitmaps and signatures don't rule out."""
+    kept = []
+    for at in range(0, len(i), 50_000):
+        x, y = i[at : at + 50_000], j[at : at + 50_000]
+        n, m = a.n[x], b.n[y]
+        fit = (100 * np.minimum(n, m) >= like * np.maximum(n, m)) & (a.component[x] != b.component[y])
+        x, y = x[fit], y[fit]
+        # like * union <= 100 * common, and common is (n + m - difference) / 2 with a difference of the bitmaps' at least
+        fit = np.bitwise_count(a.bitmap[x] ^ b.bitmap[y]).sum(axis=1, dtype=np.int64) <= (a.n[x] + b.n[y]) * (100 - like) / (100 + like)
+        x, y = x[fit], y[fit]
+        fit = (a.signature[x] == b.signature[y]).sum(axis=1) >= MATCHES
+        kept.append((x[fit], y[fit]))
+    return (np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])) if kept else (np.zeros(0, np.int64),) * 2
 
 
 def near(a: Side, b: Side, like: int = LIKE) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that may be links: of unlike components, likely by their signatures and not ruled out by sizes and bitmaps."""
-    number: dict = {}
-    of_a = np.array([number.setdefault(x, len(number)) for x in a.component])
-    of_b = np.array([number.setdefault(x, len(number)) for x in b.component])
-    out = []
+    """Index pairs of all of a with all of b that may be links. The first words of the bitmaps rule most of them out."""
+    rows, columns = [], []
     for at in range(0, len(a.n), 128):
         n, m = a.n[at : at + 128, None], b.n[None, :]
-        # like * union <= 100 * common, and common is (n + m - difference) / 2 with a difference of the bitmaps' at least
-        most = (n + m) * (100 - like) / (100 + like)
-        fit = (100 * np.minimum(n, m) >= like * np.maximum(n, m)) & (of_a[at : at + 128, None] != of_b[None, :])
+        fit = (100 * np.minimum(n, m) >= like * np.maximum(n, m)) & (a.component[at : at + 128, None] != b.component[None, :])
+        differ = np.zeros(fit.shape, np.int16)
         for w in range(4):
-            if w == 0:
-                differ = np.bitwise_count(a.bitmap[at : at + 128, None, w] ^ b.bitmap[None, :, w]).astype(np.int16)
-            else:
-                differ += np.bitwise_count(a.bitmap[at : at + 128, None, w] ^ b.bitmap[None, :, w])
-        fit &= differ <= most
+            differ += np.bitwise_count(a.bitmap[at : at + 128, None, w] ^ b.bitmap[None, :, w])
+        fit &= differ <= (n + m) * (100 - like) / (100 + like)
         i, j = np.nonzero(fit)
-        for cutoff in range(0, len(i), 50_000):
-            x, y = i[cutoff : cutoff + 50_000], j[cutoff : cutoff + 50_000]
-            whole = np.bitwise_count(a.bitmap[at + x] ^ b.bitmap[y]).sum(axis=1, dtype=np.int64)
-            keep = whole <= most[x, y]
-            x, y = x[keep], y[keep]
-            keep = (a.signature[at + x] == b.signature[y]).sum(axis=1) >= MATCHES
-            out.append(np.stack([at + x[keep], y[keep]]))
-    found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return found[0], found[1]
-
-
-def forest(pairs: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        i, j = likely(a, at + i, b, j, like)
+        rows.append(i)
+        columns.append(j)
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, np.int64),) * 2
+
+
+def inside(side: Side, post: np.ndarray, like: int = LIKE) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one side that share a post and may be links: small posts all at once, larger ones each by itself."""
+    order = np.argsort(post, kind="stable")
+    sorted_ = post[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+    size = np.diff(np.append(first, len(post)))
+    rows, columns = [], []
+    few = order[np.repeat(size <= FEW, size)]
+    for step in range(1, FEW):
+        pair = np.flatnonzero(post[few[step:]] == post[few[:-step]])
+        if not len(pair):
+            break
+        i, j = likely(side, few[pair], side, few[pair + step], like)
+        rows.append(i)
+        columns.append(j)
+    for at, n in zip(first[size > FEW], size[size > FEW]):
+        own = order[at : at + n]
+        i, j = near(side.take(own), side.take(own), like)
+        rows.append(own[i[i < j]])
+        columns.append(own[j[i < j]])
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, np.int64),) * 2
+
+
+def forest(pairs: set[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
     """A spanning forest that prefers the least nodes, so that different posts choose the same pairs."""
     above: dict[bytes, bytes] = {}
 
@@ -184,21 +219,24 @@ def forest(pairs: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
 
 
 def candidates(dealt: DataFrame, spanning: bool) -> DataFrame:
-    """Distinct pairs (a, b) of nodes from rows (post, left, right, from_left, node, n, signature, bitmap, component)."""
+    """Distinct pairs (a, b) of nodes from rows (task, left, right, from_left, post, node, n, signature, bitmap, component).
+
+    A task with left -1 holds whole posts, in which all meet; in others, the rows from_left meet the others of one post."""
 
     def run(table: pa.Table) -> pa.Table:
-        mine = np.asarray(table.column("from_left"))
-        sides = [Side(table.filter(pa.array(mine))), Side(table.filter(pa.array(~mine)))]
-        if not spanning or len(sides[1].n):
-            i, j = near(*sides)
-            pairs = [(min(x, y), max(x, y)) for x, y in ((sides[0].node[p], sides[1].node[q]) for p, q in zip(i, j)) if x != y]
+        numbering: dict = {}
+        if table.column("left")[0].as_py() == -1:
+            a = b = Side(table, numbering)
+            i, j = inside(a, np.asarray(table.column("post")))
         else:
-            i, j = near(sides[0], sides[0])
-            pairs = [(min(x, y), max(x, y)) for x, y in ((sides[0].node[p], sides[0].node[q]) for p, q in zip(i, j)) if x < y]
-        pairs = forest(pairs) if spanning else sorted(set(pairs))
+            mine = pa.array(np.asarray(table.column("from_left")))
+            a, b = Side(table.filter(mine), numbering), Side(table.filter(pa.compute.invert(mine)), numbering)
+            i, j = near(a, b)
+        pairs = {(min(x, y), max(x, y)) for x, y in zip(a.node[i], b.node[j])}
+        pairs = forest(pairs) if spanning else sorted(pairs)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
 
-    return dealt.groupBy("post", "left", "right").applyInArrow(run, "a binary, b binary").distinct()
+    return dealt.groupBy("task", "left", "right").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int, like: int) -> DataFrame:
@@ -245,14 +283,18 @@ def grouped(docs: DataFrame, width: int = WIDTH, like: int = LIKE) -> DataFrame:
     members = classes.select("node", "doc_id")
     fat = met.select("short", "node", "n", "signature", "bitmap")
 
-    # first round: each block of a post by itself, and with the post's first block
+    # first round: posts of one block, many to a task; each block of a larger post by itself, and with the post's first block
+    tasks = max(partitions(docs.sparkSession), lists.count() // TASK_ROWS)
+    task = F.pmod(F.xxhash64("post"), F.lit(tasks))
+    none, yes, no = F.lit(-1), F.lit(True), F.lit(False)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("short", F.lit(1)), F.col("blocks")).cast("int"))
-    alone = placed.select("post", F.col("block").alias("left"), F.lit(-1).alias("right"), F.lit(True).alias("from_left"), "short")
+    whole = placed.where("blocks = 1").select("post", task.alias("task"), none.alias("left"), none.alias("right"), yes.alias("from_left"), "short")
     large = placed.where("blocks > 1")
-    firsts = large.where("block = 0").select("post", F.lit(0).alias("left"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("right"), F.lit(True).alias("from_left"), "short")
-    others = large.where("block > 0").select("post", F.lit(0).alias("left"), F.col("block").alias("right"), F.lit(False).alias("from_left"), "short")
-    dealt = alone.unionByName(firsts).unionByName(others).join(fat, "short").withColumn("component", F.col("node")).drop("short")
+    alone = large.select("post", F.col("post").alias("task"), none.alias("left"), F.col("block").alias("right"), yes.alias("from_left"), "short")
+    firsts = large.where("block = 0").select("post", F.col("post").alias("task"), F.lit(0).alias("left"), F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("right"), yes.alias("from_left"), "short")
+    others = large.where("block > 0").select("post", F.col("post").alias("task"), F.lit(0).alias("left"), F.col("block").alias("right"), no.alias("from_left"), "short")
+    dealt = whole.unionByName(alone).unionByName(firsts).unionByName(others).join(fat, "short").withColumn("component", F.col("node")).drop("short")
     tried = confirmed(cut(candidates(dealt, True), "pairs"), members, docs, width, like)
     links = tried.where("ok").select("a", "b")
 
@@ -265,9 +307,11 @@ def grouped(docs: DataFrame, width: int = WIDTH, like: int = LIKE) -> DataFrame:
     open_ = open_.select("post", "major", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("lefts"))
     rest = cut(named.join(open_, "post"), "open")
     block = F.pmod(F.xxhash64("short", F.lit(2)), F.col("blocks")).cast("int")
-    outside = rest.where("component != major").select("post", F.pmod(F.xxhash64("short", F.lit(3)), F.col("lefts")).cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"), F.lit(True).alias("from_left"), "short")
-    every = rest.select("post", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), block.alias("right"), F.lit(False).alias("from_left"), "short")
-    more = candidates(outside.unionByName(every).join(labelled, "short").drop("short"), False)
+    whole = rest.where("blocks = 1").select("post", task.alias("task"), none.alias("left"), none.alias("right"), yes.alias("from_left"), "short")
+    large = rest.where("blocks > 1")
+    outside = large.where("component != major").select("post", F.col("post").alias("task"), F.pmod(F.xxhash64("short", F.lit(3)), F.col("lefts")).cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"), yes.alias("from_left"), "short")
+    every = large.select("post", F.col("post").alias("task"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), block.alias("right"), no.alias("from_left"), "short")
+    more = candidates(whole.unionByName(outside).unionByName(every).join(labelled, "short").drop("short"), False)
     more = cut(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         links = links.unionByName(confirmed(more, members, docs, width, like).where("ok").select("a", "b"))

@@ -108,6 +108,22 @@ def test_components_of_a_chain_a_star_and_rings(spark):
         assert all(bytes(got[key(i)]) == low for i in group)
 
 
+@pytest.mark.parametrize("n,few", [(1, 2), (40, 2), (40, 9), (90, 48)])
+def test_pairs_inside_posts_are_those_of_all_pairs(n, few, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(neardup, "FEW", few)
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 2**32, (4, neardup.COORDINATES), dtype=np.uint32)
+    rows = base[rng.integers(0, 4, n)]
+    rows[rng.random(rows.shape) < 0.2] = 1
+    table = pa.table({"node": [b"%06d" % i for i in range(n)], "n": rng.integers(50, 100, n), "signature": [r.tobytes() for r in rows], "bitmap": [bytes(neardup.BITS // 8)] * n, "component": [b"%d" % (i % 7) for i in range(n)]})
+    side, post = neardup.Side(table, {}), rng.integers(0, 5, n)
+    i, j = neardup.inside(side, post)
+    want = {(x, y) for x in range(n) for y in range(x) if post[x] == post[y] and x % 7 != y % 7 and 100 * min(side.n[x], side.n[y]) >= 80 * max(side.n[x], side.n[y]) and (rows[x] == rows[y]).sum() >= neardup.MATCHES}
+    assert {(max(p), min(p)) for p in zip(i.tolist(), j.tolist())} == want and len(i) == len(want)
+
+
 @pytest.mark.parametrize("block", [2048, 9])
 def test_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
