@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shapewright.llm.common import read
+from shapewright.llm.textkernel import tidied
 
 NONE = 1 << 62
 #: Matches kept encoded by a Python worker: so many recent ones, and as many from before that.
@@ -124,7 +125,7 @@ _codecs: dict[tuple[int, str], Codec] = {}
 
 
 def _codec(ranks, pattern: str) -> Codec:
-    """One for each Python worker and vocabulary; ranks: a broadcast of a vocabulary file's table (50,256 entries for the default)."""
+    """One for each task and vocabulary; ranks: a broadcast of a vocabulary file's table (50,256 entries for the default)."""
     key = (ranks._jbid if hasattr(ranks, "_jbid") and ranks._jbid else id(ranks), pattern)
     if key not in _codecs:
         _codecs.clear()
@@ -132,6 +133,10 @@ def _codec(ranks, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def forget() -> None:
+    _codecs.clear()
+
+
 def _mapped(df: DataFrame, added: list[tuple[str, T.DataType]], of: str, make) -> DataFrame:
     """df with columns made from one column; make(value) gives a tuple."""
     own = [f for f in df.schema.fields if f.name not in {n for n, _ in added}]
@@ -139,13 +144,19 @@ def _mapped(df: DataFrame, added: list[tuple[str, T.DataType]], of: str, make) -
     given = [f.name for f in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from parts(batches)
+        finally:
+            forget()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 made = list(zip(*[make(v.as_py()) for v in part.column("__of")], strict=True)) or [[] for _ in added]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in given], *[pa.array(x, pa.binary()) for x in made]], [*given, *[n for n, _ in added]])
 
-    return df.select(*given, F.col(of).alias("__of")).mapInArrow(run, schema)
+    return df.select(*given, F.col(of).alias("__of")).mapInArrow(tidied(run), schema)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", decoded: bool = False) -> DataFrame:

@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapewright.llm.common import partitions, read
-from shapewright.llm.textkernel import chunks, mix64
+from shapewright.llm.textkernel import chunks, mix64, tidied
 
 SLOTS = 64
 LEVELS = 7
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 U = np.uint64
 FIRST = np.uint8(255)
@@ -168,7 +168,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             names,
         )
 
-    return ordered.mapInArrow(run, FIELDS)
+    return ordered.mapInArrow(tidied(run), FIELDS)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

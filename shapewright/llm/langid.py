@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shapewright.llm.common import read
-from shapewright.llm.textkernel import chunks, mix64
+from shapewright.llm.textkernel import chunks, mix64, tidied
 
 SAMPLE_DOCS = 1_500
 GRAMS = 40_000
@@ -37,7 +37,7 @@ PART = 0.3
 #: A rejected document: no language, or fewer of its n-grams known than this.
 KNOWN = 0.05
 PAD = max(SIZES)
-SEGMENT = 4_000_000
+SEGMENT = 1_000_000
 
 U = np.uint64
 LETTER = regex.compile(r"\p{L}")
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     number = {k: i for i, k in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=4_000_000):
+        for batch in chunks(batches, limit=1_000_000):
             of = np.array([number[x] for x in batch.column("lang").to_pylist()])
             sets = [[] for _ in number]
             for g, begin, end in grams(batch.column("text").to_pylist()):
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "gram", "n"])
 
     docs_of = {number[r.lang]: r.n for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    counted = sample.mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = sample.mapInArrow(tidied(count), "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     per = F.create_map(*[x for k, n in docs_of.items() for x in (F.lit(k), F.lit(float(n)))]) if docs_of else F.lit(None)
     shared = counted.withColumn("share", F.col("n") / F.element_at(per, F.col("k"))).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
     first = Window.partitionBy("k").orderBy(F.desc("share"), "gram")
@@ -170,11 +170,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     given, shipped = [f.name for f in own], docs.sparkSession.sparkContext.broadcast(model)  # a MB for 8 languages, 8 for 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__of", 2_000_000):
+        for batch in chunks(batches, "__of", 1_000_000):
             lang, score, known = shipped.value.predict(batch.column("__of").to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in given], pa.array(lang, pa.string()), pa.array(score), pa.array(known)], [*given, *[a.name for a in added]])
 
-    return docs.select(*given, F.col(text_col).alias("__of")).mapInArrow(run, T.StructType([*own, *added]))
+    return docs.select(*given, F.col(text_col).alias("__of")).mapInArrow(tidied(run), T.StructType([*own, *added]))
 
 
 def keep(docs: DataFrame) -> DataFrame:

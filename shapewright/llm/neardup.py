@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from shapewright.llm.common import cut, partitions, read
 from shapewright.llm.components import components
-from shapewright.llm.textkernel import Words, chunks, mix64, places, shingles, texts_of
+from shapewright.llm.textkernel import Words, chunks, mix64, places, shingles, texts_of, tidied
 
 WIDTH, LIKE = 4, 80
 COORDINATES, MATCHES = 64, 36
@@ -42,7 +42,7 @@ BLOCK = 2_048
 FEW, TASK_ROWS = 48, 4_000
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 U = np.uint64
 _rng = np.random.default_rng(64)
@@ -93,7 +93,7 @@ def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     nodes[i], signatures[i], bitmaps[i] = digest[j].tobytes(), signature[j].tobytes(), parity[j].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (nodes, signatures, bitmaps)]], [f.split()[0] for f in SIGNED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(tidied(run), SIGNED)
 
 
 def short(node: str = "node"):
@@ -113,7 +113,7 @@ def posts(classes: DataFrame) -> DataFrame:
                 post = mix64(pair ^ mix64(np.arange(1, PREFIX + 1).astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(post.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("short")), PREFIX))], ["post", "short"])
 
-    return classes.select(short().alias("short"), "signature").mapInArrow(run, "post long, short long")
+    return classes.select(short().alias("short"), "signature").mapInArrow(tidied(run), "post long, short long")
 
 
 def shared_posts(classes: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int,
             nodes = [b"".join(mix64(s ^ salt).sum(dtype=np.uint64).tobytes() for salt in SALT) for s in found]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
 
-    full = texts.mapInArrow(sets, "node binary, shingles binary").join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    full = texts.mapInArrow(tidied(sets), "node binary, shingles binary").join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"])
     full = cut(full, "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,7 @@ def confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int,
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    return cut(both.mapInArrow(compare, "a binary, b binary, ok boolean"), "confirmed")
+    return cut(both.mapInArrow(tidied(compare), "a binary, b binary, ok boolean"), "confirmed")
 
 
 def grouped(docs: DataFrame, width: int = WIDTH, like: int = LIKE) -> DataFrame:

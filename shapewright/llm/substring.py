@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shapewright.llm.common import cut, partitions, read
-from shapewright.llm.textkernel import Words, chunks, mix64, places, shingles
+from shapewright.llm.textkernel import Words, chunks, mix64, places, shingles, tidied
 
 WIDTH = 13
 TRIPLE = 3
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Bytes of input to a bucket.
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 2_000_000
 #: Fingerprints keep so many bits; all, but for tests.
 FINGERPRINT_BITS = 64
 #: Windows of failed paths that are decided again at once.
@@ -194,10 +194,10 @@ def repeated_paths(rows: DataFrame) -> DataFrame:
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.array([p for _, p in made], pa.binary())], ["bucket", "payload"])
 
-    sent = rows.select("doc", "texts").mapInArrow(edges, "bucket int, payload binary")
+    sent = rows.select("doc", "texts").mapInArrow(tidied(edges), "bucket int, payload binary")
     found = sent.groupBy("bucket").applyInArrow(resolved, PATHS)
     order = found.repartition(partitions(spark), "doc").sortWithinPartitions("doc", "start")
-    return cut(order.mapInArrow(glued, PATHS), "paths")
+    return cut(order.mapInArrow(tidied(glued), PATHS), "paths")
 
 
 def joined(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -219,7 +219,7 @@ def digests(rows: DataFrame, spans: DataFrame) -> DataFrame:
                     out += [(doc, s["start"], s["n"], hashlib.blake2b(b" ".join(words[s["start"] : s["start"] + s["n"]]), digest_size=16).digest()) for s in of]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc", "start", "n", "digest"])
 
-    return joined(rows.withColumn("doc", F.coalesce("doc", F.lit(int(NO_ID)))), lists, "inner").mapInArrow(run, "doc long, start long, n long, digest binary")
+    return joined(rows.withColumn("doc", F.coalesce("doc", F.lit(int(NO_ID)))), lists, "inner").mapInArrow(tidied(run), "doc long, start long, n long, digest binary")
 
 
 def verified(rows: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -254,7 +254,7 @@ def decided_again(rows: DataFrame, failed: DataFrame) -> DataFrame:
                             out.add((NO_ID if doc is None else doc, d))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["doc", "digest"])
 
-    least = rows.select("doc", "texts").mapInArrow(run, "doc long, digest binary").groupBy("digest").agg(F.min("doc").alias("least"))
+    least = rows.select("doc", "texts").mapInArrow(tidied(run), "doc long, digest binary").groupBy("digest").agg(F.min("doc").alias("least"))
     return cut(asked.join(least, "digest").where("least < doc").select("doc", "start", F.lit(1).cast("bigint").alias("n")), "again")
 
 
@@ -306,7 +306,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     kept.append(b" ".join(left).decode())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*own, *ADDED])
 
-    return joined(base, lists, "left").drop("doc").mapInArrow(run, schema)
+    return joined(base, lists, "left").drop("doc").mapInArrow(tidied(run), schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

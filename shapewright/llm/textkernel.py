@@ -6,6 +6,8 @@ follows from prefix sums of a random value for each byte times powers of an odd
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow.compute
 U = np.uint64
 SPACES = b" \t\n\v\f\r"
 #: Bytes of text that are worked on at once; a single longer text is a chunk of its own.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 2_000_000
 
 _rng = np.random.default_rng(20_240_607)
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -37,12 +39,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+    """base^0 to base^(n - 1); tables for texts of an ordinary chunk are kept."""
+    found = _powers.get(int(base))
+    if found is None or len(found) < n:
+        found = np.full(n, base, np.uint64)
+        if n:
+            found[0] = 1
+            np.multiply.accumulate(found, out=found)
+        if n <= 2 * CHUNK_BYTES:
+            _powers[int(base)] = found
+    return found[:n]
 
 
 class Words:
@@ -97,6 +107,25 @@ def places(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return start + np.arange(len(text)), text
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: idle workers stay, and would hold what their last task needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run):
+    """run, a generator over batches, with give_back() at its end."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows again, in batches of about limit bytes of text; small ones are joined."""
     held: list[pa.RecordBatch] = []
