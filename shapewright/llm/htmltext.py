@@ -39,7 +39,10 @@ CONTENT = frozenset("article main".split())
 CLOSED_BY_BLOCK = "p"
 
 #: Words in a class, id or role that mark page furniture.
-MARKS = frozenset("ad ads advert advertisement advertising adsense banner billboard breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright disqus footer gdpr header login masthead menu menubar meta modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup privacy promo promoted promotion recommended related reply respond search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe tagcloud tags toolbar tooltip widget".split())
+MARKS = frozenset("ad ads advert advertisement advertising adsense banner billboard breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright disqus footer gdpr header login masthead menu menubar meta modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion recommended related reply respond search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe tagcloud tags toolbar tooltip widget".split())
+#: What such words begin or end with where they are run together.
+BEGIN = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor", "subscri")
+END = ("banner", "comments", "footer", "menu", "nav", "sidebar")
 #: Words there that mark the article.
 KEEPS = frozenset("article articlebody body content entry main post story text".split())
 
@@ -69,8 +72,9 @@ def marked(attributes: str) -> tuple[bool, bool]:
     if "=" not in attributes and "hidden" not in attributes:
         return False, False
     words = {w.lower() for m in NAMES.finditer(attributes) for w in PIECES.findall(m[1] or m[2] or m[3] or "")}
-    keeps = bool(words & KEEPS) and not words & {"comment", "comments", "sidebar", "footer", "related", "nav", "menu", "ad", "ads"}
-    return (bool(words & MARKS) and not keeps) or bool(HIDDEN.search(attributes)), keeps
+    marks = bool(words & MARKS) or any(w.startswith(BEGIN) or w.endswith(END) for w in words)
+    keeps = bool(words & KEEPS) and not words & {"comment", "comments", "sidebar", "footer", "related", "nav", "menu", "notice", "ad", "ads"}
+    return (marks and not keeps) or bool(HIDDEN.search(attributes)), keeps
 
 
 def blocks(page: str) -> list[Block]:

@@ -31,6 +31,16 @@ def test_furniture_inside_the_article_goes():
     assert main_text(page(body)) == f"T\n{P1}\n{P2}"
 
 
+@pytest.mark.parametrize("name", ["notice", "cookie-bar", "userComments", "sitefooter", "mainmenu", "ad", "ad-slot-3", "post-comments", "sidebar2", "newsletter_signup", "role-menu"])
+def test_names_of_furniture(name):
+    assert main_text(page(f"<div class='article-body'><p>{P1}</p><div class='{name}'><p>{P3}</p></div><p>{P2}</p></div>")) == f"{P1}\n{P2}"
+
+
+@pytest.mark.parametrize("name", ["story", "headline", "shadow", "article-header", "lead", "navy"])
+def test_other_names_are_no_furniture(name):
+    assert main_text(page(f"<article><p>{P1}</p><div class='{name}'><p>{P3}</p></div></article>")) == f"{P1}\n{P3}"
+
+
 def test_links_count_against_a_block():
     body = f"<div><p>{P1}</p><p><a href=1>{P3}</a> <a href=2>{P3}</a></p><p>With <a href=3>one link</a> in it: {P2}</p></div>"
     assert main_text(page(body)) == f"{P1}\nWith one link in it: {P2}"
