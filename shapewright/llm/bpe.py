@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapewright.llm.common import read
+from shapewright.llm.common import read, text_batches
 from shapewright.llm.textkernel import tidied
 
 NONE = 1 << 62
@@ -125,7 +125,7 @@ _codecs: dict[tuple[int, str], Codec] = {}
 
 
 def _codec(ranks, pattern: str) -> Codec:
-    """One for each task and vocabulary; ranks: a broadcast of a vocabulary file's table (50,256 entries for the default)."""
+    """One for each Python worker and vocabulary; ranks: a broadcast of a vocabulary file's table (50,256 entries for the default)."""
     key = (ranks._jbid if hasattr(ranks, "_jbid") and ranks._jbid else id(ranks), pattern)
     if key not in _codecs:
         _codecs.clear()
@@ -133,23 +133,14 @@ def _codec(ranks, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def forget() -> None:
-    _codecs.clear()
-
-
 def _mapped(df: DataFrame, added: list[tuple[str, T.DataType]], of: str, make) -> DataFrame:
     """df with columns made from one column; make(value) gives a tuple."""
+    text_batches(df.sparkSession)
     own = [f for f in df.schema.fields if f.name not in {n for n, _ in added}]
     schema = T.StructType([*own, *[T.StructField(n, t) for n, t in added]])
     given = [f.name for f in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from parts(batches)
-        finally:
-            forget()
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)

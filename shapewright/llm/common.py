@@ -48,6 +48,18 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
     return made.select("__row.*")
 
 
+#: Rows of an Arrow batch of texts at most. A batch is held in the JVM's direct memory and again in Python's; Spark's 10,000 rows of
+#: texts are tens of megabytes for each running task.
+TEXT_ROWS = 1_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on rows of Arrow batches to TEXT_ROWS; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapewright.llm.common import partitions, read
+from shapewright.llm.common import partitions, read, text_batches
 from shapewright.llm.textkernel import chunks, mix64, tidied
 
 SLOTS = 64
@@ -142,6 +142,7 @@ def edit(text: str, follower: str) -> str:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """FIELDS for each document, compared with its edited text and with the next document."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     ordered = with_next(rows, "id", 4 * partitions(docs.sparkSession))
 

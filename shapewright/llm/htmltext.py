@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapewright.llm.common import read
+from shapewright.llm.common import read, text_batches
 
 # Elements of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -211,6 +211,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages, its html replaced by main_text."""
     own = [f for f in pages.schema.fields if f.name not in (html_col, "main_text")]
     given = [f.name for f in own]
+    text_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapewright.llm.common import read
+from shapewright.llm.common import read, text_batches
 from shapewright.llm.textkernel import chunks, mix64, tidied
 
 SAMPLE_DOCS = 1_500
@@ -166,6 +166,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and known."""
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())]
+    text_batches(docs.sparkSession)
     own = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
     given, shipped = [f.name for f in own], docs.sparkSession.sparkContext.broadcast(model)  # a MB for 8 languages, 8 for 64
 

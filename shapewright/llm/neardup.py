@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapewright.llm.common import cut, partitions, read
+from shapewright.llm.common import cut, partitions, read, text_batches
 from shapewright.llm.components import components
 from shapewright.llm.textkernel import Words, chunks, mix64, places, shingles, texts_of, tidied
 
@@ -275,6 +275,7 @@ def grouped(docs: DataFrame, width: int = WIDTH, like: int = LIKE) -> DataFrame:
     """doc_id, mark, n_shingles, component, component_id for each row of docs (doc_id, text); component is null for an empty set. No other size of likeness than 80 or more: MATCHES is set for it."""
     if like < LIKE:
         raise ValueError(f"like: {LIKE} at least, for which the signatures are made")
+    text_batches(docs.sparkSession)
     rows = cut(signed(docs, width), "signed")
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bitmap").alias("bitmap"))
     classes = cut(classes, "classes")

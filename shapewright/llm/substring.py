@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapewright.llm.common import cut, partitions, read
+from shapewright.llm.common import cut, partitions, read, text_batches
 from shapewright.llm.textkernel import Words, chunks, mix64, places, shingles, tidied
 
 WIDTH = 13
@@ -265,6 +265,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """docs with n_words, n_removed and kept, the words that stay joined by one space.
 
     A table in which an id occurs again is brought to one row for each id first."""
+    text_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ADDED]
     ids = docs.groupBy(F.col(id_col).cast("bigint").alias("doc")).agg(F.count("*").alias("n"))
     repeats = not ids.where("n > 1").isEmpty()
