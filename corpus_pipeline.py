@@ -38,9 +38,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and digests of the ids and of what they decode to."""
-    made = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
-    return made.select("doc_id", "lang", "source", F.expr("CAST(octet_length(ids) div 4 AS BIGINT)").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, lang, source, n_tokens, ids and digests of the ids and of what they decode to, by mix_place: the row's number in the mixture."""
+    placed = mixing.by_place(mixing.written(docs).select("doc_id", "lang", "source", "text", "mix_place"))
+    made = bpe.encode(placed, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    return made.select("doc_id", "lang", "source", F.expr("CAST(octet_length(ids) div 4 AS BIGINT)").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "mix_place")
 
 
 STAGES = [

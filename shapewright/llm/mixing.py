@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,6 +106,27 @@ def in_order(mixed: DataFrame) -> DataFrame:
     return mixed.repartitionByRange(n, "mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset")
 
 
+def written(docs: DataFrame) -> DataFrame:
+    """docs, which are read from the files of in_order's rows, with mix_place: 0 for the first row of the mixture, then 1, 2, 3.
+
+    A scan deals large files first, so the place is the row's number in its file and the rows of the files before."""
+    spark, name = docs.sparkSession, F.col("_metadata.file_path")
+    sizes = {r["f"]: r["n"] for r in docs.groupBy(name.alias("f")).agg(F.count("*").alias("n")).collect()}  # a row for each file, of which there are as many as partitions
+    start, table = 0, []
+    for f in sorted(sizes, key=lambda f: [int(x) if k % 2 else x for k, x in enumerate(re.split(r"([0-9]+)", f))]):
+        table.append({"__f": f, "__start": start})
+        start += sizes[f]
+    own = [c for c in docs.columns if c != "mix_place"]
+    rows = docs.select(*own, name.alias("__f"), F.col("_metadata.row_index").alias("__row"))
+    starts = literal_table(spark, table, "__f string, __start bigint")
+    return rows.join(F.broadcast(starts), "__f").select(*own, (F.col("__start") + F.col("__row")).alias("mix_place"))
+
+
+def by_place(placed: DataFrame) -> DataFrame:
+    """The rows dealt over partitions in the order of mix_place."""
+    return placed.repartitionByRange(partitions(placed.sparkSession), "mix_place").sortWithinPartitions("mix_place")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
     return mix(docs, PARTS, OTHER_PARTS)

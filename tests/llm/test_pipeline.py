@@ -1,3 +1,4 @@
+import random
 import struct
 from collections import Counter
 
@@ -99,3 +100,23 @@ def test_encoding_against_the_library(stages):
 def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == stages[5][0] and Counter(map(str, got.collect())) == Counter(str(r) for r in spark.createDataFrame(stages[5][1], got.schema).collect())
+
+
+def test_run_keeps_the_order_of_the_mixture_over_many_files(spark, tmp_path):
+    words = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in "lmnrst"]
+    rng = random.Random(8)
+    # documents of the given table with words of their own, most of them of one source, and of lengths that differ by source
+    given = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    rows = [(r.doc_id, r.text + " " + " ".join(rng.choices(words, k=400 * (i % 7))), r.lang, f"src{max(0, i % 11 - 6)}", r.n_chars) for i, r in enumerate(given)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    sources, names = [r.source for r in got], sorted(mixing.PARTS)
+    assert len(got) > 150 and sources == [names[r["stream"]] for r in _slots(Counter(sources))]
+    assert [r.mix_place for r in got] == list(range(len(got)))
