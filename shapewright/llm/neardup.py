@@ -240,12 +240,14 @@ def candidates(dealt: DataFrame, spanning: bool) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int, like: int) -> DataFrame:
-    """pairs (a, b), with ok: whether their full sets are alike. members: (node, doc_id), a document of each class."""
+    """pairs (a, b), with ok: whether their full sets are alike. members: (node, doc_id, mark), a document of each class."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = cut(ends.join(members, "node"), "asked")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # pick: a hash of id and text, which a null id only leaves out; a clash only brings a text too many
+    asked = cut(ends.join(members, "node").select("node", F.xxhash64("doc_id", "mark").alias("pick")), "asked")
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("pick"), "text")
+    picks = asked.select("pick").distinct()
     small = asked.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(asked.select("doc_id").distinct()) if small else asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = rows.join(F.broadcast(picks) if small else picks, "pick", "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=CHUNK):
@@ -277,11 +279,11 @@ def grouped(docs: DataFrame, width: int = WIDTH, like: int = LIKE) -> DataFrame:
         raise ValueError(f"like: {LIKE} at least, for which the signatures are made")
     text_batches(docs.sparkSession)
     rows = cut(signed(docs, width), "signed")
-    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bitmap").alias("bitmap"))
-    classes = cut(classes, "classes")
+    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark")).alias("of"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bitmap").alias("bitmap"))
+    classes = cut(classes.select("node", "of.doc_id", "of.mark", "n", "signature", "bitmap"), "classes")
     lists = shared_posts(classes)
     met = cut(classes.withColumn("short", short()).join(lists.select("short").distinct(), "short", "left_semi"), "met")
-    members = classes.select("node", "doc_id")
+    members = classes.select("node", "doc_id", "mark")
     fat = met.select("short", "node", "n", "signature", "bitmap")
 
     # first round: posts of one block, many to a task; each block of a larger post by itself, and with the post's first block

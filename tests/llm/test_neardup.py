@@ -166,3 +166,18 @@ def test_one_document_of_each_group_stays(spark):
     lows = {c for _, n, c in brute(rows) if n}
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(i, t) for i, t in rows[:40] if i in lows] + [(100, None), (100, None), (101, " \n"), (102, "one two"), (102, "three"), (None, "four five")], key=str)
     assert neardup.keep_first(docs.limit(0)).collect() == []
+
+
+def test_near_copies_without_an_id(spark):
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "bcdfghklmn" for b in "aeiou"]
+    base = rng.choices(words, k=120)
+    edited = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(base))
+    # neighbours in this chain are near copies, its ends are not; only one has an id
+    chain = [(None, edited()), (None, edited(5, 40)), (None, edited(5, 40, 70, 100)), (9, edited(5, 40, 70, 100, 20, 85))]
+    other = [(None, t) for t in family(rng, rng.choices(words, k=120), 6, 2)] + [(None, "nobody else says this at all")]
+    assert run(spark, chain + other) == brute(chain + other)
+    docs = spark.createDataFrame(chain + other, "doc_id long, text string")
+    assert len({bytes(r.component) for r in neardup.grouped(docs).collect()}) == 3
+    kept = [(r.doc_id, r.text) for r in neardup.keep_first(docs).collect()]
+    assert len(kept) == 3 and chain[3] in kept and other[-1] in kept
