@@ -1,9 +1,9 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 Documents with equal shingle sets form a class, and classes are what is compared. A signature has COORDINATES least hashes; a link of
-likeness 0.8 agrees in MATCHES of them but for about one in a million. Coordinates are posted two by two, a post being the pair's
+likeness 0.8 agrees in MATCHES of them but for about four in a million. Coordinates are posted two by two, a post being the pair's
 number and its values: two signatures that agree in MATCHES coordinates differ in so few that at least COMMON of the pairs agree
-wholly, so the first PREFIX pairs hold a common post. Merging skips what can't reach the threshold: posts of one class only, classes
+wholly. All pairs are posted, as skipping counts on COMMON common posts. Merging skips what can't reach the threshold: posts of one class only, classes
 with fewer than COMMON shared posts, pairs whose sizes or parity bitmaps rule 0.8 out, pairs that are connected already. What is left
 is confirmed on the full shingle sets.
 
@@ -34,7 +34,6 @@ WIDTH, LIKE = 4, 80
 COORDINATES, MATCHES = 64, 36
 PAIRS = COORDINATES // 2
 COMMON = PAIRS - (COORDINATES - MATCHES)
-PREFIX = PAIRS - COMMON + 1
 BITS = 2048
 #: Classes of a post that are compared in one task.
 BLOCK = 2_048
@@ -102,16 +101,16 @@ def short(node: str = "node"):
 
 
 def posts(classes: DataFrame) -> DataFrame:
-    """(post, short): PREFIX rows a class."""
+    """(post, short): PAIRS rows a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 x = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint64)
-                pair = (x[:, 0::2] << U(32) | x[:, 1::2])[:, :PREFIX]
-                post = mix64(pair ^ mix64(np.arange(1, PREFIX + 1).astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(post.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("short")), PREFIX))], ["post", "short"])
+                pair = x[:, 0::2] << U(32) | x[:, 1::2]
+                post = mix64(pair ^ mix64(np.arange(1, PAIRS + 1).astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(post.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("short")), PAIRS))], ["post", "short"])
 
     return classes.select(short().alias("short"), "signature").mapInArrow(tidied(run), "post long, short long")
 

@@ -181,3 +181,14 @@ def test_near_copies_without_an_id(spark):
     assert len({bytes(r.component) for r in neardup.grouped(docs).collect()}) == 3
     kept = [(r.doc_id, r.text) for r in neardup.keep_first(docs).collect()]
     assert len(kept) == 3 and chain[3] in kept and other[-1] in kept
+
+
+@pytest.mark.parametrize("agree", [range(4), range(28, 32), [3, 29, 30, 31]])
+def test_signatures_that_just_match_share_their_posts(spark, agree):
+    a = np.arange(neardup.COORDINATES, dtype=np.uint32)
+    b = a.copy()
+    b[[2 * p for p in range(neardup.PAIRS) if p not in agree]] += 1000
+    assert (a == b).sum() == neardup.MATCHES
+    classes = spark.createDataFrame([(b"a", a.tobytes()), (b"b", b.tobytes()), (b"c", (a + 5000).astype(np.uint32).tobytes())], "node binary, signature binary")
+    got = neardup.shared_posts(classes).collect()
+    assert len({r.post for r in got}) == neardup.COMMON and len(got) == 2 * neardup.COMMON
