@@ -7,6 +7,10 @@ an article or main element, or if it is long and holds many of its language's co
 pass: an undecided block takes the label of its nearest decided neighbour; between two of unlike labels at the same distance it is
 text only if it reads like a sentence or heading beside text.
 
+Names on html and body mark nothing, nor do those around a main element. Those (or a form) around an article element don't count if
+no other article of the page holds a long block, except for names of comments and of related articles. If nothing but scraps would
+be left of a page, it is labelled again without names and forms; those in a main element only, if the scraps are surely text.
+
 The commonest words are counted on the page itself (short words that recur), so no word list of any language is needed.
 
 Defined cases: null or empty html has an empty text; broken markup never fails: an unclosed element ends with its parent, an unclosed
@@ -20,7 +24,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +37,10 @@ from shapewright.llm.common import read, text_batches
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template svg math iframe object canvas audio video noembed noframes xmp".split())
-FURNITURE = frozenset("nav aside footer form menu dialog button select fieldset label legend figcaption head".split())
+FURNITURE = frozenset("nav aside footer menu dialog button select fieldset label legend figcaption head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article main".split())
+PAGE = frozenset("html body".split())
 CLOSED_BY_BLOCK = "p"
 
 #: Words in a class, id or role that mark page furniture.
@@ -43,6 +48,10 @@ MARKS = frozenset("ad ads advert advertisement advertising adsense banner billbo
 #: What such words begin or end with where they are run together.
 BEGIN = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor", "subscri")
 END = ("banner", "comments", "footer", "menu", "nav", "sidebar")
+#: Names that begin with such a word tell of a layout.
+STATES = frozenset("has no not with without".split())
+#: Words that mark lists of comments or of other articles.
+LISTS = frozenset("disqus recommended related reply respond shoutbox".split())
 #: Words there that mark the article.
 KEEPS = frozenset("article articlebody body content entry main post story text".split())
 
@@ -58,29 +67,42 @@ WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?…。！？][\"'”’)»]*$")
 
 
+NO_FLAGS = (False,) * 6
+
+
 @dataclass
 class Block:
     text: str
     tag: str
     links: int
-    furniture: bool
+    fixed: bool  # furniture by its elements
+    named: bool  # furniture by names or a form, whatever is inside
+    around: bool  # furniture by names of, or a form around, what may hold an article
     content: bool
+    article: bool
+    element: bool  # in an article or main element
+
+    @property
+    def furniture(self) -> bool:
+        return self.fixed or self.named or self.around
 
 
-def marked(attributes: str) -> tuple[bool, bool]:
-    """Whether names in the attributes mark furniture, or the article."""
+def marked(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether names in the attributes mark furniture, or the article, or a list of other texts; whether the element is hidden."""
     if "=" not in attributes and "hidden" not in attributes:
-        return False, False
-    words = {w.lower() for m in NAMES.finditer(attributes) for w in PIECES.findall(m[1] or m[2] or m[3] or "")}
+        return False, False, False, False
+    names = [[w.lower() for w in PIECES.findall(name)] for m in NAMES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split()]
+    words = {w for name in names if name and name[0] not in STATES for w in name}
     marks = bool(words & MARKS) or any(w.startswith(BEGIN) or w.endswith(END) for w in words)
     keeps = bool(words & KEEPS) and not words & {"comment", "comments", "sidebar", "footer", "related", "nav", "menu", "notice", "ad", "ads"}
-    return (marks and not keeps) or bool(HIDDEN.search(attributes)), keeps
+    bad = marks and not keeps
+    return bad, keeps, bad and any(w in LISTS or w.startswith("comment") for w in words), bool(HIDDEN.search(attributes))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with the elements' part in each label."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, content, link
+    stack: list[tuple] = []  # tag, whether link, and a block's flags
     text: list[str] = []
     links, inked = 0, False
 
@@ -89,9 +111,9 @@ def blocks(page: str) -> list[Block]:
         if inked:
             whole = SPACE.sub(" ", "".join(text)).strip()
             if whole:
-                tag, furniture, content, _ = stack[-1] if stack else ("", False, False, False)
+                tag, _, *flags = stack[-1] if stack else ("", False, *NO_FLAGS)
                 tag = next((t for t, *_ in reversed(stack) if t in BLOCKS), tag)
-                out.append(Block(whole, tag, links, furniture, content))
+                out.append(Block(whole, tag, links, *flags))
         text.clear()
         links, inked = 0, False
 
@@ -103,7 +125,7 @@ def blocks(page: str) -> list[Block]:
         text.append(piece)
         if not inked:
             inked = not piece.isspace()
-        if stack and stack[-1][3]:
+        if stack and stack[-1][1]:
             links += len(SPACE.sub(" ", piece).strip())
 
     at, end = 0, len(page)
@@ -129,12 +151,17 @@ def blocks(page: str) -> list[Block]:
                         stack.pop()
             if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
                 continue
-            _, furniture, content, link = stack[-1] if stack else ("", False, False, False)
-            bad, keeps = marked(m[3])
-            if tag == "header":
-                bad = bad or not content
-            inner = tag in CONTENT or keeps or content
-            stack.append((tag, furniture or bad or tag in FURNITURE, inner, link or tag == "a"))
+            _, link, fixed, named, around, content, article, element = stack[-1] if stack else ("", False, *NO_FLAGS)
+            bad, keeps, listed, hidden = marked(m[3])
+            if tag in PAGE:
+                bad = listed = hidden = False
+            elif tag == "main":
+                bad = listed = around = False
+            bad = bad or tag == "form"
+            fixed = fixed or hidden or tag in FURNITURE or tag == "header" and not content
+            named = named or listed or bad and article
+            around = around or bad and not article
+            stack.append((tag, link or tag == "a", fixed, named, around, tag in CONTENT or keeps or content, article or tag == "article", element or tag in CONTENT))
         elif m[1]:
             tag = m[1].lower()
             if tag in BLOCKS:
@@ -155,6 +182,21 @@ def common_words(found: list[Block]) -> set[str]:
 
 def labels(found: list[Block]) -> list[bool]:
     """Whether each block is main text."""
+    long = [b for b in found if b.element and not b.fixed and not b.named and len(b.text) >= LONG and b.links < LINKS / 2 * len(b.text)]
+    if long and all(b.around for b in long):
+        found = [replace(b, around=False) if b.article else b for b in found]
+    first, out = passes(found)
+    if sum(len(b.text) for b, keep in zip(found, out) if keep) < SHORT and any(b.named or b.around for b in found):
+        if True in first:  # a short article or main element: what else it holds
+            return passes([replace(b, around=b.around and not b.element) for b in found])[1]
+        again, wider = passes([replace(b, named=False, around=False) for b in found])
+        if True in again:
+            return wider
+    return out
+
+
+def passes(found: list[Block]) -> tuple[list[bool | None], list[bool]]:
+    """The first pass's labels, None where undecided, and the second's."""
     within = any(b.content and not b.furniture for b in found)
     stops = common_words(found) if any(not b.furniture and not b.content for b in found) else set()
     first: list[bool | None] = []
@@ -172,7 +214,7 @@ def labels(found: list[Block]) -> list[bool]:
         else:
             first.append(None)
     if True not in first:  # nothing is surely text: what is not furniture is all there is
-        return [x is None for x in first]
+        return first, [x is None for x in first]
     # nearest decided neighbour on each side: its distance and label
     far = len(found) + 1
     left, at = [], (far, False)
@@ -194,7 +236,7 @@ def labels(found: list[Block]) -> list[bool]:
         for i, b in enumerate(found):
             if not b.content and first[i] is None and not inside[0] < i < inside[-1]:
                 out[i] = False
-    return out
+    return first, out
 
 
 def stopped(text: str, stops: set[str]) -> bool:

@@ -83,3 +83,25 @@ def test_extra_columns_and_empty_tables(spark):
     got = htmltext.extract(pages).collect()
     assert [(r.main_text, r.x, r.url) for r in got] == [("a", 2.0, None)] * 2
     assert htmltext.extract(pages.limit(0)).collect() == []
+
+
+LAYOUTS = ["right-sidebar", "no-sidebar", "has-header", "menu-open", "with-sidebar", "hasComments"]
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+@pytest.mark.parametrize("made", [
+    "<html class='{0}'><body>{1}</body></html>", "<html><body class='{0}'>{1}</body></html>", "<body><div class='{0}'>{1}</div><p>Terms | Imprint</p></body>",
+    "<body><main class='{0}'><h1>T</h1><div id='{0}'>{1}</div></main></body>", "<body><form class='{0}'>{1}</form></body>",
+])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_names_around_the_text_lose_nothing(name, made, tag):
+    got = main_text(made.format(name, f"<nav><a href=/>Home</a></nav><{tag}><p>{P1}</p><p>{P2} {P3}</p><div class='share'>Share this</div></{tag}><footer>&copy; site</footer>")).split("\n")
+    assert [x for x in got if x not in ("T", "Terms | Imprint", "Share this")] == [P1, f"{P2} {P3}"]
+
+
+def test_articles_inside_furniture_beside_the_article_go():
+    other = f"<article><p>{P3} {P3}</p></article>"
+    body = f"<div class='sidebar'>{other}</div><article><p>{P1} {P2}</p></article><section class='comments'>{other}</section><div class='related'>{other}</div>"
+    assert main_text(page(body)) == f"{P1} {P2}"
+    assert main_text(page(f"<div><p>{P1} {P2}</p></div><section class='comments'>{other}</section>")) == f"{P1} {P2}"
+    assert main_text(page("<nav><a href=/>Home</a></nav><div class='menu'>Terms</div><footer>&copy; site</footer>")) == ""
