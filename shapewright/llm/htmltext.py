@@ -3,7 +3,7 @@
 A tokenizer walks the page once, keeps the open elements, and cuts it into blocks at block-level tags. First pass: a block is page
 furniture if it stands inside an element that is (navigation, header or footer of the page, aside, form, script, or an element whose
 class, id or role says menu, advert, notice, comment and so on), or if most of its characters are links; it is text if it stands in
-an article or main element, or if it is long and holds many of its language's commonest words; otherwise it is undecided. Second
+an article or main element, whatever its links, or if it is long and holds many of its language's commonest words; otherwise it is undecided. Second
 pass: an undecided block takes the label of its nearest decided neighbour; between two of unlike labels at the same distance it is
 text only if it reads like a sentence or heading beside text.
 
@@ -36,8 +36,10 @@ from shapewright.llm.common import read, text_batches
 # Elements of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object canvas audio video noembed noframes xmp".split())
-FURNITURE = frozenset("nav aside footer menu dialog button select fieldset label legend figcaption head".split())
+RAW = frozenset("script style textarea title noscript template svg iframe object canvas audio video noembed noframes xmp".split())
+#: In a formula, its source; browsers don't show it.
+SOURCES = frozenset("annotation annotation-xml".split())
+FURNITURE = frozenset("nav aside footer menu dialog button select fieldset label legend head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article main".split())
 PAGE = frozenset("html body".split())
@@ -141,9 +143,13 @@ def blocks(page: str) -> list[Block]:
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else end
-                if tag not in ("noscript", "svg", "math"):
+                if tag not in ("noscript", "svg"):
                     flush()
                 continue
+            if tag in SOURCES and any(t == "math" for t, *_ in stack):
+                close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)|(?=</(?:semantics|math)\b)", re.I).search(page, at)
+                at = close.end() if close else at
+                continue
             if tag in BLOCKS:
                 flush()
                 if tag != "br":
@@ -203,8 +209,8 @@ def passes(found: list[Block]) -> tuple[list[bool | None], list[bool]]:
     for b in found:
         n = len(b.text)
         dense = b.links / n
-        if b.furniture or dense > LINKS and not (b.content and n >= LONG):
-            first.append(False)
+        if b.furniture or dense > LINKS and not b.element and not (b.content and n >= LONG):
+            first.append(None if b.content and not b.furniture else False)
         elif within:
             first.append(True if b.content else (None if n < SHORT else n >= LONG and dense < LINKS / 2 and stopped(b.text, stops)))
         elif n >= LONG and dense < LINKS / 2 and (stopped(b.text, stops) or SENTENCE.search(b.text)):

@@ -105,3 +105,11 @@ def test_articles_inside_furniture_beside_the_article_go():
     assert main_text(page(body)) == f"{P1} {P2}"
     assert main_text(page(f"<div><p>{P1} {P2}</p></div><section class='comments'>{other}</section>")) == f"{P1} {P2}"
     assert main_text(page("<nav><a href=/>Home</a></nav><div class='menu'>Terms</div><footer>&copy; site</footer>")) == ""
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_captions_formulas_and_references_stay(tag):
+    refs = "".join(f"<li><a href={i}>A paper on bridge number {i}</a>, 1990</li>" for i in range(6))
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding='application/x-tex'>E=m<p></annotation></semantics></math>"
+    body = f"<{tag}><p>{P1}</p><figure><img src=x><figcaption>The bridge in spring</figcaption></figure><p>So {formula} holds.</p><p>{P2}</p><aside>See also</aside><ul>{refs}</ul></{tag}><footer>&copy; site</footer>"
+    assert main_text(page(body)) == "\n".join([P1, "The bridge in spring", "So E=m holds.", P2, *[f"A paper on bridge number {i}, 1990" for i in range(6)]])
