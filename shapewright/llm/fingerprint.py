@@ -3,8 +3,9 @@
 A text's UTF-8 bytes are symbols. On each level runs of a symbol become one symbol; deterministic coin tossing (the lowest bit in
 which a symbol differs from the one before, four times over) leaves labels below 6 whose neighbours differ; a phrase begins at each
 local maximum; and phrases are named by a hash of their symbols, which are the next level's symbols. A label depends on the few
-symbols before it only, so equal substrings are parsed alike inside, wherever they stand. The fingerprint keeps, of all phrase names
-of all levels, the least in each of SLOTS classes; two fingerprints' likeness is the share of equal slots among those that either
+symbols before it only, so equal substrings are parsed alike inside, wherever they stand. A text is parsed until one symbol is left.
+The fingerprint keeps, of all phrase names of all levels but the first, whose phrases are the two or three letters that any texts
+share, the least in each of SLOTS classes; two fingerprints' likeness is the share of equal slots among those that either
 fills, which estimates the likeness of the sets of phrases.
 
 Documents are paired with the next in descending order of id: rows are dealt into ranges of ids, and each range also gets the first
@@ -18,6 +19,7 @@ Memory grows with the longest text, by about 60 bytes for each of its bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,6 @@ from shapewright.llm.common import partitions, read, text_batches
 from shapewright.llm.textkernel import chunks, mix64, tidied
 
 SLOTS = 64
-LEVELS = 7
 CHUNK = 1_000_000
 
 U = np.uint64
@@ -78,7 +79,7 @@ def sketches(texts: list[bytes]) -> np.ndarray:
     least = np.full(n * SLOTS, EMPTY)
     x = mix64(np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + U(1))
     text = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in texts])
-    for level in range(LEVELS):
+    for level in count():
         if not len(x):
             break
         x, text = phrases(x, text)
@@ -86,6 +87,8 @@ def sketches(texts: list[bytes]) -> np.ndarray:
             continue  # two or three letters, which any texts share
         h = mix64(x ^ U(int(ODD) * (level + 1) % (1 << 64)))
         np.minimum.at(least, text.astype(np.int64) * SLOTS + (h & U(SLOTS - 1)).astype(np.int64), h >> U(6))
+        more = np.bincount(text, minlength=n)[text] > 1
+        x, text = x[more], text[more]
     out = (least % U(65_535) + U(1)).astype(np.uint16)
     out[least == EMPTY] = 0
     return out.reshape(n, SLOTS)

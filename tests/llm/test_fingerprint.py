@@ -76,3 +76,19 @@ def test_query_against_brute_force(spark, tmp_path, monkeypatch, n, chunk):
     rows += [(3, "twice"), (3, "twice"), (3, "other"), (None, "no id"), (5000, words(3000))] if n > 3 else []
     spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, copy string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted((tuple(r) for r in fp.op9(spark, str(tmp_path)).collect()), key=str) == expected(rows)
+
+
+def test_texts_are_parsed_until_one_symbol_is_left(monkeypatch):
+    left, parse = {}, fp.phrases
+
+    def watched(x, text):
+        names, of = parse(x, text)
+        left.update(enumerate(np.bincount(of, minlength=4).tolist()) if not left else ((t, n) for t, n in enumerate(np.bincount(of, minlength=4).tolist()) if n))
+        return names, of
+
+    monkeypatch.setattr(fp, "phrases", watched)
+    parts = [words(400) for _ in range(60)]
+    texts = ["".join(parts).encode(), "".join(reversed(parts)).encode(), b"short", b""]
+    s = fp.sketches(texts)
+    assert len(texts[0]) > 100_000 and left == {0: 1, 1: 1, 2: 1, 3: 0}
+    assert all((fp.sketches([t])[0] == row).all() for t, row in zip(texts, s)) and (s[2] > 0).any()
