@@ -2,6 +2,8 @@ import re
 import time
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from shapewright.llm import htmltext
 from shapewright.llm.htmltext import main_text
@@ -60,6 +62,13 @@ def test_small_cases(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize("whole", ["<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "x<br>" * 20_000, "<b><div>" * 20_000 + "</b>" * 20_000, "<math>" + "<annotation>" * 20_000, "<div class=ad>" * 20_000 + "<p>y</p>" * 20_000, "<ul>" * 20_000 + "</li>" * 20_000])
+def test_deep_pages_cost_no_more_than_their_length(whole):
+    t = time.time()
+    main_text(whole)
+    assert time.time() - t < 4
+
+
 @pytest.mark.parametrize("unit", ["<", "<p ", "<a href=\"", "<!--", "<b><i>", "</p>", "<div>", "&", "<p a='", "<x y=\"\" "])
 def test_bad_markup_costs_no_more_than_its_length(unit):
     t = time.time()
@@ -67,15 +76,88 @@ def test_bad_markup_costs_no_more_than_its_length(unit):
     assert time.time() - t < 8
 
 
+def of_article(html: str) -> str:
+    inner = re.search(r"<article>(.*)</article>", html, re.S)[1]
+    parts = (" ".join(htmltext.entities.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?(?:p|br|h1)>", inner))
+    return "\n".join(x for x in parts if x)
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def pages_of(spark) -> dict[int, str]:
+    return {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+
+
 def test_query_against_the_pages_own_markup(spark):
-    sf = "/root/testdata/sf0.01"
-    html = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
-    got = htmltext.op7(spark, sf).collect()
+    html = pages_of(spark)
+    got = htmltext.op7(spark, SF).collect()
     assert len(got) == len(html)
     for r in got:
-        inner = re.search(r"<article>(.*)</article>", html[r.page_id], re.S)[1]
-        parts = (" ".join(htmltext.entities.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?(?:p|br|h1)>", inner))
-        assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+        assert r.text == of_article(html[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_no_article_element_is_needed(spark):
+    for html in pages_of(spark).values():
+        assert main_text(html.replace("<article>", "<div>").replace("</article>", "</div>")) == of_article(html)
+
+
+def test_hardly_any_name_is_needed(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "MARKS", frozenset())
+    monkeypatch.setattr(htmltext, "BEGIN", ("\0",))
+    monkeypatch.setattr(htmltext, "END", ("\0",))
+    html = pages_of(spark).values()
+    assert sum(main_text(x) != of_article(x) for x in html) <= 0.02 * len(html)
+
+
+NAMES = "Bridgework Construction, Riverside Infrastructure Works, Northern Quarrying Company, Eastern Stonemasons Association, Municipal Engineering Office"
+
+#: Blocks without a name or element that tells: what stays is told by densities and neighbours.
+PLAIN = f"<div><h2>News</h2><p>Yes.</p><p>{P1}</p><p>So.</p><p>{P2}</p><div><a href=1>One thing</a> | <a href=2>Another</a></div></div><div><p>{NAMES}</p><span>Tags</span></div><ul><li><a href=3>Third</a></li><li>Fourth</li></ul>"
+
+
+@pytest.mark.parametrize("rule", ["stopped", "LINKS", "LONG", "inherited"])
+def test_each_rule_decides(rule, monkeypatch):
+    before = main_text(page(PLAIN))
+    assert before.split("\n")[:5] == ["News", "Yes.", P1, "So.", P2]
+    off = {"stopped": lambda text: True, "LINKS": 9.0, "LONG": 10**9, "inherited": lambda found, first: [x is True for x in first]}[rule]
+    monkeypatch.setattr(htmltext, rule, off)
+    assert main_text(page(PLAIN)) != before
+
+
+def plainly(found, first):
+    """The second pass once more, block by block."""
+    out = list(first)
+    for headings in (True, False):
+        known = list(out)
+        for i, b in enumerate(found):
+            if known[i] is not None or b.heading != headings:
+                continue
+            low = high = None
+            for near in (lambda j: found[j].parent == b.parent, lambda j: True):
+                low = next((j for j in range(i - 1, -1, -1) if known[j] is not None and near(j)), None)
+                stop = len(found) if headings else next((j for j in range(i + 1, len(found)) if found[j].heading), len(found))
+                high = next((j for j in range(i + 1, stop) if known[j] is not None and near(j)), None)
+                if low is not None or high is not None:
+                    break
+            if headings and high is not None:
+                low = None
+            if low is None and high is None:
+                out[i] = None if headings else False
+            elif low is None or high is not None and high - i < i - low:
+                out[i] = known[high]
+            elif high is None or i - low < high - i or known[low] == known[high]:
+                out[i] = known[low]
+            else:
+                out[i] = b.text.endswith(".")
+    return [bool(x) for x in out]
+
+
+@given(st.lists(st.tuples(st.sampled_from(["a.", "b"]), st.booleans(), st.integers(0, 2), st.sampled_from([True, False, None, None])), max_size=14))
+def test_second_pass_against_a_plain_one(rows):
+    found = [htmltext.Block(text, heading, parent, 0, False, 0) for text, heading, parent, _ in rows]
+    first = [label for *_, label in rows]
+    assert htmltext.inherited(found, first) == plainly(found, first)
 
 
 def test_extra_columns_and_empty_tables(spark):
