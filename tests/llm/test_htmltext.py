@@ -113,7 +113,7 @@ def test_hardly_any_name_is_needed(spark, monkeypatch):
 NAMES = "Bridgework Construction, Riverside Infrastructure Works, Northern Quarrying Company, Eastern Stonemasons Association, Municipal Engineering Office"
 
 #: Blocks without a name or element that tells: what stays is told by densities and neighbours.
-PLAIN = f"<div><h2>News</h2><p>Yes.</p><p>{P1}</p><p>So.</p><p>{P2}</p><div><a href=1>One thing</a> | <a href=2>Another</a></div></div><div><p>{NAMES}</p><span>Tags</span></div><ul><li><a href=3>Third</a></li><li>Fourth</li></ul>"
+PLAIN = f"<div><h2>News</h2><p>Yes.</p><p>{P1}</p><p>So.</p><p>{P2}</p><div><a href=1>One thing</a> | <a href=2>Another</a></div></div><div><p>{NAMES}, {NAMES}, {NAMES}</p><span>Tags</span></div><ul><li><a href=3>Third</a></li><li>Fourth</li></ul>"
 
 
 @pytest.mark.parametrize("rule", ["stopped", "LINKS", "LONG", "inherited"])
