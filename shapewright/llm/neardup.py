@@ -1,15 +1,19 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 Documents with equal shingle sets form a class, and classes are what is compared. A signature has COORDINATES least hashes; a link of
-likeness 0.8 agrees in MATCHES of them but for about four in a million. Coordinates are posted two by two, a post being the pair's
-number and its values: two signatures that agree in MATCHES coordinates differ in so few that at least COMMON of the pairs agree
-wholly. All pairs are posted, as skipping counts on COMMON common posts. Merging skips what can't reach the threshold: posts of one class only, classes
-with fewer than COMMON shared posts, pairs whose sizes or parity bitmaps rule 0.8 out, pairs that are connected already. What is left
-is confirmed on the full shingle sets.
+likeness 0.8 agrees in MATCHES of them but for about four in a million. Every class is posted under each (coordinate, value) of its
+signature, and two classes collide once for each post that both are under; candidates are pairs with MATCHES collisions at least.
 
-A first round compares posts in blocks and confirms a spanning forest; a second round compares, across blocks, only what is still in
-different components, so that a large group of linked copies costs in proportion to its size, and only classes outside of their
-post's largest component meet all others of that post. Components come from stars over the confirmed links.
+Skipping: posts of one class only collide with nothing, so a class with fewer than MATCHES other posts is in no candidate. Prefix: a
+class's remaining posts are put in the order of their lists' lengths, rarest first; as two classes with MATCHES collisions can't miss
+each other in all of their first (remaining - MATCHES + 1) posts, only those lists are merged. A page template that texts share by half
+stands in the long lists behind, and brings nobody together. Merging a list counts the collisions of its pairs, coordinate by coordinate,
+and drops a pair as soon as those to come can't bring it to MATCHES, or as its sizes or parity bitmaps rule the likeness out, or if it
+is connected already. What is left is confirmed on the full shingle sets.
+
+A first round merges lists, long ones in blocks, and confirms a spanning forest; a second round merges, across blocks, only what is
+still in different components, so that a large group of linked copies costs in proportion to its size, and only classes outside of their
+list's largest component meet all others of that list. Components come from stars over the confirmed links.
 
 Defined cases: a null or blank text has no shingle and is linked with nothing; a text of fewer words than a shingle is one shingle;
 repeated rows, also of one id, are members of one class; null ids are never a component's id unless there is no other; other columns
@@ -18,12 +22,13 @@ stay where rows are kept; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shapewright.llm.common import cut, partitions, read, text_batches
@@ -32,13 +37,13 @@ from shapewright.llm.textkernel import Words, chunks, mix64, places, shingles, t
 
 WIDTH, LIKE = 4, 80
 COORDINATES, MATCHES = 64, 36
-PAIRS = COORDINATES // 2
-COMMON = PAIRS - (COORDINATES - MATCHES)
 BITS = 2048
-#: Classes of a post that are compared in one task.
+#: Classes of a list that are merged in one task.
 BLOCK = 2_048
-#: Posts of so many classes are compared many at a time, in tasks of about TASK_ROWS rows.
+#: Lists of so many classes are merged many at a time, in tasks of about TASK_ROWS rows.
 FEW, TASK_ROWS = 48, 4_000
+#: Coordinates whose collisions are counted at a time.
+STRIDE = 16
 #: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 CHUNK = 1_000_000
@@ -101,29 +106,29 @@ def short(node: str = "node"):
 
 
 def posts(classes: DataFrame) -> DataFrame:
-    """(post, short): PAIRS rows a class."""
+    """(post, short): COORDINATES rows a class, one for each coordinate with its value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coordinate = mix64(np.arange(1, COORDINATES + 1).astype(np.uint64))
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 x = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint64)
-                pair = x[:, 0::2] << U(32) | x[:, 1::2]
-                post = mix64(pair ^ mix64(np.arange(1, PAIRS + 1).astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(post.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("short")), PAIRS))], ["post", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix64(x ^ coordinate).ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("short")), COORDINATES))], ["post", "short"])
 
     return classes.select(short().alias("short"), "signature").mapInArrow(tidied(run), "post long, short long")
 
 
-def shared_posts(classes: DataFrame) -> DataFrame:
-    """(post, short) of the posts of several classes, of the classes with COMMON such posts at least."""
-    thin = posts(classes)
-    several = thin.groupBy("post").agg(F.count("*").alias("n")).where("n > 1").select("post")
-    met = cut(thin.join(several, "post"), "posts")
-    often = met.groupBy("short").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("short")
-    met = met.join(often, "short")
-    sizes = met.groupBy("post").agg(F.count("*").alias("size")).where("size > 1")
-    return cut(met.join(sizes, "post").select("post", "short", "size"), "lists")
+def lists_of(classes: DataFrame) -> DataFrame:
+    """(post, short, size): the lists that have to be merged, each with its length. See the module's text on skipping and prefixes."""
+    each = posts(classes)
+    several = each.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(each.join(several, "post"), "posts")
+    own = Window.partitionBy("short")  # COORDINATES rows at most
+    placed = met.withColumn("shared", F.count("*").over(own)).where(F.col("shared") >= MATCHES).withColumn("place", F.row_number().over(own.orderBy("n", "post")))
+    prefix = cut(placed.where(F.col("place") <= F.col("shared") - (MATCHES - 1)).select("post", "short"), "prefixes")
+    sizes = prefix.groupBy("post").agg(F.count("*").alias("size")).where("size > 1")
+    return cut(prefix.join(sizes, "post").select("post", "short", "size"), "lists")
 
 
 class Side:
@@ -143,8 +148,8 @@ class Side:
         return out
 
 
-def likely(a: Side, i: np.ndarray, b: Side, j: np.ndarray, like: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of index pairs, those that sizes, bitmaps and signatures don't rule out."""
+def colliding(a: Side, i: np.ndarray, b: Side, j: np.ndarray, like: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of index pairs, those with MATCHES collisions that sizes and bitmaps don't rule out."""
     kept = []
     for at in range(0, len(i), 50_000):
         x, y = i[at : at + 50_000], j[at : at + 50_000]
@@ -154,13 +159,17 @@ def likely(a: Side, i: np.ndarray, b: Side, j: np.ndarray, like: int) -> tuple[n
         # like * union <= 100 * common, and common is (n + m - difference) / 2 with a difference of the bitmaps' at least
         fit = np.bitwise_count(a.bitmap[x] ^ b.bitmap[y]).sum(axis=1, dtype=np.int64) <= (a.n[x] + b.n[y]) * (100 - like) / (100 + like)
         x, y = x[fit], y[fit]
-        fit = (a.signature[x] == b.signature[y]).sum(axis=1) >= MATCHES
-        kept.append((x[fit], y[fit]))
+        collisions = np.zeros(len(x), np.int64)
+        for low in range(0, COORDINATES, STRIDE):
+            collisions += (a.signature[x, low : low + STRIDE] == b.signature[y, low : low + STRIDE]).sum(axis=1)
+            fit = collisions + (COORDINATES - low - STRIDE) >= MATCHES
+            x, y, collisions = x[fit], y[fit], collisions[fit]
+        kept.append((x, y))
     return (np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])) if kept else (np.zeros(0, np.int64),) * 2
 
 
 def near(a: Side, b: Side, like: int = LIKE) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of all of a with all of b that may be links. The first words of the bitmaps rule most of them out."""
+    """colliding pairs of all of a with all of b. The first words of the bitmaps rule most of them out."""
     rows, columns = [], []
     for at in range(0, len(a.n), 128):
         n, m = a.n[at : at + 128, None], b.n[None, :]
@@ -170,14 +179,14 @@ def near(a: Side, b: Side, like: int = LIKE) -> tuple[np.ndarray, np.ndarray]:
             differ += np.bitwise_count(a.bitmap[at : at + 128, None, w] ^ b.bitmap[None, :, w])
         fit &= differ <= (n + m) * (100 - like) / (100 + like)
         i, j = np.nonzero(fit)
-        i, j = likely(a, at + i, b, j, like)
+        i, j = colliding(a, at + i, b, j, like)
         rows.append(i)
         columns.append(j)
     return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, np.int64),) * 2
 
 
 def inside(side: Side, post: np.ndarray, like: int = LIKE) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one side that share a post and may be links: small posts all at once, larger ones each by itself."""
+    """colliding pairs of one side that share a post: short lists all at once, longer ones each by itself."""
     order = np.argsort(post, kind="stable")
     sorted_ = post[order]
     first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
@@ -188,7 +197,7 @@ def inside(side: Side, post: np.ndarray, like: int = LIKE) -> tuple[np.ndarray,
         pair = np.flatnonzero(post[few[step:]] == post[few[:-step]])
         if not len(pair):
             break
-        i, j = likely(side, few[pair], side, few[pair + step], like)
+        i, j = colliding(side, few[pair], side, few[pair + step], like)
         rows.append(i)
         columns.append(j)
     for at, n in zip(first[size > FEW], size[size > FEW]):
@@ -200,7 +209,7 @@ def inside(side: Side, post: np.ndarray, like: int = LIKE) -> tuple[np.ndarray,
 
 
 def forest(pairs: set[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-    """A spanning forest that prefers the least nodes, so that different posts choose the same pairs."""
+    """A spanning forest that prefers the pairs with the least hashes, so that different lists choose the same ones, and no node has many."""
     above: dict[bytes, bytes] = {}
 
     def root(x: bytes) -> bytes:
@@ -209,7 +218,7 @@ def forest(pairs: set[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
         return x
 
     out = []
-    for a, b in sorted(pairs):
+    for a, b in sorted(pairs, key=lambda p: (zlib.crc32(p[0] + p[1]), p)):
         x, y = root(a), root(b)
         if x != y:
             above[max(x, y)] = min(x, y)
@@ -220,7 +229,7 @@ def forest(pairs: set[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
 def candidates(dealt: DataFrame, spanning: bool) -> DataFrame:
     """Distinct pairs (a, b) of nodes from rows (task, left, right, from_left, post, node, n, signature, bitmap, component).
 
-    A task with left -1 holds whole posts, in which all meet; in others, the rows from_left meet the others of one post."""
+    A task with left -1 holds whole lists, in which all meet; in others, the rows from_left meet the others of one list."""
 
     def run(table: pa.Table) -> pa.Table:
         numbering: dict = {}
@@ -280,12 +289,12 @@ def grouped(docs: DataFrame, width: int = WIDTH, like: int = LIKE) -> DataFrame:
     rows = cut(signed(docs, width), "signed")
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark")).alias("of"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bitmap").alias("bitmap"))
     classes = cut(classes.select("node", "of.doc_id", "of.mark", "n", "signature", "bitmap"), "classes")
-    lists = shared_posts(classes)
+    lists = lists_of(classes)
     met = cut(classes.withColumn("short", short()).join(lists.select("short").distinct(), "short", "left_semi"), "met")
     members = classes.select("node", "doc_id", "mark")
     fat = met.select("short", "node", "n", "signature", "bitmap")
 
-    # first round: posts of one block, many to a task; each block of a larger post by itself, and with the post's first block
+    # first round: lists of one block, many to a task; each block of a longer list by itself, and with the list's first block
     tasks = max(partitions(docs.sparkSession), lists.count() // TASK_ROWS)
     task = F.pmod(F.xxhash64("post"), F.lit(tasks))
     none, yes, no = F.lit(-1), F.lit(True), F.lit(False)
@@ -300,7 +309,7 @@ def grouped(docs: DataFrame, width: int = WIDTH, like: int = LIKE) -> DataFrame:
     tried = confirmed(cut(candidates(dealt, True), "pairs"), members, docs, width, like)
     links = tried.where("ok").select("a", "b")
 
-    # second round: posts that still hold several components; those outside of the largest meet all
+    # second round: lists that still hold several components; those outside of the largest meet all
     found = components(links)
     labelled = cut(met.select("short", "node", "n", "signature", "bitmap").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
     named = lists.select("post", "short").join(labelled.select("short", "component"), "short")

@@ -97,7 +97,11 @@ def test_chunks_keep_every_row_in_order(sizes, limit):
     assert all(b.num_rows == 1 or sum(len(t or "") + 1 for t in b.column("text").to_pylist()) <= limit for b in got)
 
 
-def test_components_of_a_chain_a_star_and_rings(spark):
+@pytest.mark.parametrize("hub", [10_000, 3])
+def test_components_of_a_chain_a_star_and_rings(spark, monkeypatch, hub):
+    from shapewright.llm import components as module
+
+    monkeypatch.setattr(module, "HUB", hub)
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200 + i, 200 + (i + 1) % 17) for i in range(17)] + [(300, 300)]
     rng.shuffle(edges)
@@ -183,12 +187,36 @@ def test_near_copies_without_an_id(spark):
     assert len(kept) == 3 and chain[3] in kept and other[-1] in kept
 
 
-@pytest.mark.parametrize("agree", [range(4), range(28, 32), [3, 29, 30, 31]])
-def test_signatures_that_just_match_share_their_posts(spark, agree):
+@pytest.mark.parametrize("agree", [range(36), range(28, 64), range(0, 64, 2)])
+def test_signatures_that_just_match_meet_in_a_prefix(spark, agree):
+    """They meet whatever other lists they are in, and those that collide once less needn't."""
     a = np.arange(neardup.COORDINATES, dtype=np.uint32)
+    agree = list(agree) + [i for i in range(neardup.COORDINATES) if i not in agree][: neardup.MATCHES - len(agree)]
     b = a.copy()
-    b[[2 * p for p in range(neardup.PAIRS) if p not in agree]] += 1000
+    b[[i for i in range(neardup.COORDINATES) if i not in agree]] += 1000
     assert (a == b).sum() == neardup.MATCHES
-    classes = spark.createDataFrame([(b"a", a.tobytes()), (b"b", b.tobytes()), (b"c", (a + 5000).astype(np.uint32).tobytes())], "node binary, signature binary")
-    got = neardup.shared_posts(classes).collect()
-    assert len({r.post for r in got}) == neardup.COMMON and len(got) == 2 * neardup.COMMON
+    rng = np.random.default_rng(1)
+    others = [np.where(rng.random(neardup.COORDINATES) < 0.4, rng.choice([a, b]), a + 5000 + i).astype(np.uint32) for i in range(30)]
+    classes = spark.createDataFrame([(b"%d" % i, x.tobytes()) for i, x in enumerate([a, b, *others])], "node binary, signature binary")
+    key = {r.node: r.s for r in classes.selectExpr("node", "xxhash64(node) AS s").collect()}
+    lists = defaultdict(set)
+    for r in neardup.lists_of(classes).collect():
+        lists[r.post].add(r.short)
+        assert r.size > 1
+    assert any({key[b"0"], key[b"1"]} <= x for x in lists.values())
+    far = a.copy()
+    far[agree[0]] += 2000
+    alone = spark.createDataFrame([(b"a", far.tobytes()), (b"b", b.tobytes())], "node binary, signature binary")
+    assert neardup.lists_of(alone).count() == 0
+
+
+def test_a_template_brings_nobody_together(spark):
+    """Texts that share a third of their words: rows in merged lists stay far below a row a text, however many there are."""
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(template + [f"x{rng.randrange(10**9)}" for _ in range(70)])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = neardup.signed(docs)
+    assert neardup.posts(classes.select("signature", "node")).groupBy("post").count().where("count > 400").count() > 5
+    assert neardup.lists_of(classes.select("signature", "node")).count() < len(rows) / 4
+    assert run(spark, rows) == brute(rows)
