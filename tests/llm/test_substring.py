@@ -71,15 +71,66 @@ def test_payloads_come_back(rows, tail):
 @given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 5)), max_size=40))
 def test_repeated_edges(rows):
     doc, edge = (np.array([r[i] for r in rows], np.int64) for i in range(2))
-    pos = np.arange(len(rows))
-    hit, source, at = substring.repeated(doc, pos, edge.astype(np.uint64))
-    want = [(i, *min((doc[j], j) for j in range(len(rows)) if edge[j] == edge[i])) for i in range(len(rows))]
-    assert list(zip(hit, source, at)) == [(i, d, p) for i, d, p in want if d < doc[i]]
+    e = substring.Edges(doc=doc, mark=doc * 0, pos=np.arange(len(rows)), tail=edge.astype(np.uint64), head=edge.astype(np.uint64), again=np.zeros(len(rows), bool))
+    every, least, sources = substring.repeated(e)
+    want = {i: min((doc[j], j) for j in range(len(rows)) if edge[j] == edge[i])[1] for i in range(len(rows)) if len(set(doc[edge == edge[i]])) > 1}
+    assert dict(zip(every.tolist(), least.tolist())) == want and sorted(sources.tolist()) == sorted(set(want.values()))
 
 
-@pytest.mark.parametrize("bits,chunk", [(64, 4_000_000), (64, 300), (7, 4_000_000), (7, 300)])
+def nonbranching(rows):
+    """The paths (doc, start, n) of the graph of repeated windows, by tables of nodes and edges."""
+    split = {d: (t or "").encode().split() for d, t in rows}
+    starts = {}
+    for d, w in sorted(split.items()):
+        for i in range(len(w) - W + 1):
+            starts.setdefault(tuple(w[i : i + W]), []).append((d, i))
+    graph = {g: min(x) for g, x in starts.items() if len({d for d, _ in x}) > 1}
+    into, out = {}, {}
+    for g in graph:
+        out.setdefault(g[:-1], []).append(g)
+        into.setdefault(g[1:], []).append(g)
+    after = {}
+    for v in into:
+        if len(into[v]) == 1 and len(out.get(v, ())) == 1:
+            a, b = graph[into[v][0]], graph[out[v][0]]
+            if b == (a[0], a[1] + 1):
+                after[a] = b
+    paths = set()
+    for at in set(graph.values()) - set(after.values()):
+        n, x = 1, at
+        while x in after:
+            n, x = n + 1, after[x]
+        paths.add((*at, n))
+    return paths, into, out
+
+
+@pytest.mark.parametrize("size,heavy,chunk", [(10**9, 10**9, 10**7), (300, 10**9, 10**7), (300, 3, 400), (2_000, 20, 10**7)])
+def test_paths_are_those_of_the_graph(spark, monkeypatch, size, heavy, chunk):
+    for name, value in (("BUCKET_BYTES", size), ("HEAVY", heavy), ("LOOK", 1), ("CHUNK", chunk)):
+        monkeypatch.setattr(substring, name, value)
+    rng = random.Random(size + heavy)
+    rows = list(dict(corpus(rng, 80)).items())
+    base = [f"w{i}" for i in range(200)]
+    for i in range(30):  # bubbles: the same text with one of three other words at some places
+        rows.append((2_000 + i, " ".join(f"x{rng.randrange(3)}" if j % 40 == 7 and rng.random() < 0.7 else w for j, w in enumerate(base))))
+    want, into, out = nonbranching(rows)
+    assert sum(len(x) > 1 for x in out.values()) > 3 and sum(len(x) > 1 for x in into.values()) > 3
+    docs = spark.createDataFrame([(d, 0, t) for d, t in rows], "doc long, mark long, text string").repartition(3)
+    found = substring.graph_of(docs)
+    if heavy < 100:
+        buckets = int(max(2 * 4, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // size + 1))
+        assert len(substring.heavy_buckets(docs, buckets))
+    pieces = found.where("left_open IS NOT NULL").select("doc", "mark", "start", "n", "left_open", "right_open")
+    made = pieces.join(substring.paths_of(pieces), ["doc", "mark", "start"]).selectExpr("doc", "path", "start + n AS stop").groupBy("doc", "path").max("stop").collect()
+    assert {(d, p, stop - p) for d, p, stop in made} == want
+    if size < 10**9:
+        assert pieces.where("right_open").count() > 5
+    assert run(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("bits,chunk", [(40, 4_000_000), (40, 300), (4, 4_000_000), (4, 300)])
 def test_against_brute_force(spark, monkeypatch, bits, chunk):
-    monkeypatch.setattr(substring, "FINGERPRINT_BITS", bits)
+    monkeypatch.setattr(substring, "NODE_BITS", bits)
     monkeypatch.setattr(substring, "CHUNK", chunk)
     rows = list(dict(corpus(random.Random(bits + chunk), 120)).items())
     got = run(spark, rows)
@@ -97,6 +148,27 @@ def test_empty_tables(spark):
     assert run(spark, [(1, None), (2, "few words")]) == brute([(1, None), (2, "few words")])
 
 
+def test_many_texts_without_an_id(spark):
+    """They are one document of texts that are told apart, none of which is held together with the others."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(40)], k=60)) for _ in range(20)]
+    rows = [(None, t) for t in texts + texts[:4]] + [(3, texts[5]), (4, texts[6] + " " + texts[7]), (4, texts[5])]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_text_without_passages_keeps_its_white_space(spark):
+    p = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, p), (2, f"a\n b\n\n{p}\n\nc  d\n"), (3, f"{p}\n\te"), (4, f" x\ty \n")], "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in substring.remove(docs, spaced=True).collect()}
+    assert got == {1: p, 2: "a\n b\n\nc  d\n", 3: "\n\te", 4: " x\ty \n"}
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, "x")], "doc_id long, text string, doc int, mark int, spans string")
+    row = substring.remove(docs).collect()[0]
+    assert (row.doc, row.mark, row.spans, row.kept) == (5, 6, "x", "a b")
+
+
 def test_words_split_as_bytes_do():
     odd = "a\x1cb\x85c d\xa0e f\x0bg\x0ch"
     assert [w.decode() for w in odd.encode().split()] == ["a\x1cb\x85c d\xa0e", "f", "g", "h"]
