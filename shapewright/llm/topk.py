@@ -1,10 +1,14 @@
 """Exact top-k inner products over norm-sorted blocks.
 
 Vectors are whole numbers. They are dealt into blocks in the order of descending length; a group of queries meets the blocks of a
-slice in that order. A block is skipped where the product of lengths can't reach a query's k-th score so far (Cauchy-Schwarz); in
-the others the first coordinates after a rotation, taken from an SVD of a bounded sample so that they hold most of the length, give a
-partial product, and the lengths of the rest bound what is missing. What survives is scored exactly. A first bound for each query
-comes from the longest block. The rotation and the bounds only decide what is skipped: results are exact.
+slice in that order. A block is skipped for the queries whose k-th score so far the product of lengths can't reach (Cauchy-Schwarz). For
+the others the coordinates after a rotation, taken from an SVD of a bounded sample so that the first ones hold most of the length, are
+multiplied up to a first cut; the lengths of what lies behind the cut bound what is missing, and pairs that can't reach the k-th score
+go. So do further pairs at further cuts. What survives is scored exactly, pair by pair where few do. A first bound for each query comes
+from the longest block. The rotation and the bounds only decide what is skipped: results are exact.
+
+How much that saves depends on the vectors: much where lengths differ or few directions hold most of the length, next to nothing where
+all vectors are about as long and spread over all directions; a cut that leaves nearly all pairs is not tried again for that group.
 
 Defined cases: null vectors and ids, and vectors holding a null, NaN or infinite component, take no part; vectors of unlike lengths
 don't meet; a row is never a result of a query of its own id; rows with repeated ids are candidates of their own, and a repeated
@@ -27,8 +31,14 @@ from shapewright.llm.common import cut, partitions, read
 
 K = 20
 SCALE = 64
-#: Bytes of a block of candidates and of queries, and blocks of a slice at most.
-BLOCK_BYTES, SLICE_BLOCKS = 1 << 20, 64
+#: Bytes of a block of candidates and of a group of queries, and blocks of a slice at most.
+BLOCK_BYTES, GROUP_BYTES, SLICE_BLOCKS = 1 << 20, 64 << 20, 64
+#: Queries of a group that meet a block at once.
+ROWS = 1_024
+#: Shares of the squared length before each cut; the share of pairs left beyond which a cut isn't tried again; below which pairs are scored one by one.
+SHARES, USELESS, SPARSE = (0.3, 0.55, 0.8), 0.8, 0.25
+#: Lengths of vectors up to which each length's longest block is broadcast.
+MOST_DIMS = 64
 SAMPLE_ROWS = 2_000
 EXACT = float(1 << 53)
 LEAST = np.iinfo(np.int64).min
@@ -58,8 +68,8 @@ def quantised(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & fine).mapInArrow(run, "id long, dim int, norm double, vector binary")
 
 
-def packed(rows: DataFrame, name: str) -> DataFrame:
-    """PACKED blocks of rows by descending norm; a block holds one dim only."""
+def packed(rows: DataFrame, name: str, size: int, parts: int) -> DataFrame:
+    """PACKED blocks of rows by descending norm, of size bytes; a block holds one dim only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made, held = TaskContext.get().partitionId() << 32, 0, ([], [])
@@ -70,7 +80,7 @@ def packed(rows: DataFrame, name: str) -> DataFrame:
 
         for batch in batches:
             for i, dim, norm, vector in zip(*[batch.column(c).to_pylist() for c in ("id", "dim", "norm", "vector")]):
-                if held[0] and (dim != now or len(held[0]) * 8 * max(dim, 1) >= BLOCK_BYTES):
+                if held[0] and (dim != now or len(held[0]) * 8 * max(dim, 1) >= size):
                     yield block()
                     made, held = made + 1, ([], [])
                 if not held[0]:
@@ -81,12 +91,16 @@ def packed(rows: DataFrame, name: str) -> DataFrame:
             yield block()
 
     order = ["dim", F.desc("norm"), "id"]
-    return cut(rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, PACKED), name)
+    return cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, PACKED), name)
 
 
-def rotation(sample: np.ndarray) -> np.ndarray:
-    """Columns by descending share of the sample's length."""
-    return np.linalg.svd(sample, full_matrices=True)[2].T if len(sample) else np.eye(sample.shape[1])
+def rotation(sample: np.ndarray) -> tuple[np.ndarray, tuple[int, ...]]:
+    """Columns by descending share of the sample's squared length, and the cuts."""
+    _, lengths, turn = np.linalg.svd(sample, full_matrices=True)
+    dim = sample.shape[1]
+    held = np.cumsum(np.pad(lengths**2, (0, dim - len(lengths))))
+    cuts = sorted({int(np.searchsorted(held, share * held[-1])) + 1 for share in SHARES} - {dim}) if held[-1] > 0 else []
+    return turn.T, tuple(c for c in cuts if c < dim)
 
 
 @dataclass
@@ -94,19 +108,19 @@ class Block:
     ids: np.ndarray
     exact: np.ndarray
     norms: np.ndarray
-    front: np.ndarray
-    rest: np.ndarray
+    turned: np.ndarray
+    rests: list[np.ndarray]  # the length behind each cut
 
     @classmethod
-    def of(cls, ids: bytes, vectors: bytes, dim: int, turn: np.ndarray | None) -> Block:
+    def of(cls, ids: bytes, vectors: bytes, dim: int, turn: tuple[np.ndarray, tuple[int, ...]] | None) -> Block:
         i = np.frombuffer(ids, "<i8")
         x = np.frombuffer(vectors, "<i8").reshape(len(i), dim)
         f = x.astype(np.float64)
         norms = np.sqrt((f * f).sum(axis=1)) * (1 + 1e-12)
-        k = max(1, dim // 4)
-        turned = f @ turn if turn is not None and len(turn) == dim else f
-        rest = np.sqrt((turned[:, k:] ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-6
-        return cls(i, x, norms, turned[:, :k], rest)
+        if turn is None or len(turn[0]) != dim:
+            return cls(i, x, norms, f, [])
+        turned = f @ turn[0]
+        return cls(i, x, norms, turned, [np.sqrt((turned[:, cut:] ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-6 for cut in turn[1]])
 
 
 def product(a: np.ndarray, b: np.ndarray, largest: float, counts: np.ndarray) -> np.ndarray:
@@ -119,44 +133,92 @@ def product(a: np.ndarray, b: np.ndarray, largest: float, counts: np.ndarray) ->
     return exact.astype(np.int64)
 
 
+def pair_products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, largest: float) -> np.ndarray:
+    """Exact inner products of the rows i of a with the rows j of b."""
+    out = np.empty(len(i), np.int64)
+    for at in range(0, len(i), 100_000):
+        x, y = a[i[at : at + 100_000]], b[j[at : at + 100_000]]
+        if largest < EXACT:
+            out[at : at + 100_000] = np.einsum("ij,ij->i", x, y)
+        else:
+            exact = (x.astype(object) * y.astype(object)).sum(axis=1)
+            if len(exact) and max(abs(exact.max()), abs(exact.min())) >= 1 << 63:
+                raise OverflowError("a score is beyond 64 bits")
+            out[at : at + 100_000] = exact.astype(np.int64)
+    return out
+
+
 class Best:
     """The best k of each query so far."""
 
-    def __init__(self, queries: Block, bound: np.ndarray, k: int):
-        self.queries, self.bound, self.k = queries, bound.copy(), k
+    def __init__(self, queries: Block, bound: np.ndarray, k: int, cuts: tuple[int, ...] = ()):
+        self.queries, self.bound, self.k, self.cuts = queries, bound.copy(), k, cuts
         self.scores = [np.zeros(0, np.int64)] * len(queries.ids)
         self.ids = [np.zeros(0, np.int64)] * len(queries.ids)
+        self.useful = [True] * len(cuts)
+        self.pairs = self.scored = 0
 
     def meet(self, c: Block) -> None:
+        for low in range(0, len(self.queries.ids), ROWS):
+            self.meet_some(np.arange(low, min(low + ROWS, len(self.queries.ids))), c)
+
+    def meet_some(self, live: np.ndarray, c: Block) -> None:
         q = self.queries
-        open_ = self.bound == LEAST
-        bound = np.where(open_, -np.inf, self.bound.astype(np.float64))
-        slack = 1e-9 * np.abs(np.where(open_, 0, bound)) + 1e-6
-        live = np.flatnonzero(q.norms * c.norms.max(initial=0) + slack >= bound)
-        if not len(live):
-            return
-        reach = q.front[live] @ c.front.T + q.rest[live, None] * c.rest + 1e-9 * q.norms[live, None] * c.norms
-        maybe = reach + slack[live, None] >= bound[live, None]
-        columns = np.flatnonzero(maybe.any(axis=0))
-        rows = np.flatnonzero(maybe.any(axis=1))
-        if not len(columns):
+        self.pairs += len(live) * len(c.ids)
+        bound = np.where(self.bound[live] == LEAST, -np.inf, self.bound[live].astype(np.float64))
+        bound -= 1e-9 * np.abs(np.where(np.isinf(bound), 0, bound)) + 1e-6
+        near = q.norms[live] * c.norms.max(initial=0) >= bound
+        live, bound = live[near], bound[near]
+        columns = np.flatnonzero(c.norms * q.norms[live].max(initial=0) >= bound.min(initial=np.inf))
+        if not len(live) or not len(columns):
             return
-        live = live[rows]
+        part, begin, maybe = 0.0, 0, None
+        for n, cut in enumerate(self.cuts):
+            if not self.useful[n]:
+                continue
+            part = part + q.turned[live, begin:cut] @ c.turned[columns, begin:cut].T
+            begin = cut
+            reach = part + q.rests[n][live, None] * c.rests[n][columns] + 1e-9 * q.norms[live, None] * c.norms[columns]
+            maybe = reach >= bound[:, None]
+            left = float(maybe.mean())
+            self.useful[n] = left <= USELESS or np.isinf(bound).any()
+            rows, some = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+            if not len(rows):
+                return
+            if len(rows) < len(live) or len(some) < len(columns):
+                live, bound, columns, part, maybe = live[rows], bound[rows], columns[some], part[np.ix_(rows, some)], maybe[np.ix_(rows, some)]
+            if left < SPARSE:
+                break
         ids = c.ids[columns]
-        counts = maybe[np.ix_(rows, columns)] & (ids != q.ids[live, None])
-        scores = product(q.exact[live], c.exact[columns], float(q.norms[live].max() * c.norms[columns].max()), counts)
+        largest = float(q.norms[live].max() * c.norms[columns].max())
+        if maybe is not None and maybe.mean() < SPARSE:
+            i, j = np.nonzero(maybe & (ids != q.ids[live, None]))
+            self.scored += len(i)
+            scores = pair_products(q.exact, live[i], c.exact, columns[j], largest)
+            good = scores >= self.bound[live[i]]
+            i, j, scores = i[good], j[good], scores[good]
+            first = np.searchsorted(i, np.arange(len(live) + 1))
+            for row in np.unique(i):
+                own = slice(first[row], first[row + 1])
+                self.add(live[row], scores[own], ids[j[own]])
+            return
+        counts = ids != q.ids[live, None]
+        self.scored += len(live) * len(columns)
+        scores = product(q.exact[live], c.exact[columns], largest, counts)
         good = (scores >= self.bound[live, None]) & counts
         for row in np.flatnonzero(good.any(axis=1)):
-            at = live[row]
-            s = np.concatenate([self.scores[at], scores[row, good[row]]])
-            i = np.concatenate([self.ids[at], ids[good[row]]])
-            if len(s) > 4 * self.k:
-                least = np.partition(s, len(s) - self.k)[len(s) - self.k]
-                s, i = s[s >= least], i[s >= least]
-            order = np.lexsort((i, -s))[: self.k]
-            self.scores[at], self.ids[at] = s[order], i[order]
-            if len(order) == self.k:
-                self.bound[at] = max(self.bound[at], s[order[-1]])
+            self.add(live[row], scores[row, good[row]], ids[good[row]])
+
+    def add(self, at: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        s = np.concatenate([self.scores[at], scores])
+        i = np.concatenate([self.ids[at], ids])
+        if len(s) > 4 * self.k:
+            least = np.partition(s, len(s) - self.k)[len(s) - self.k]
+            s, i = s[s >= least], i[s >= least]
+        order = np.lexsort((i, -s))[: self.k]
+        self.scores[at], self.ids[at] = s[order], i[order]
+        if len(order) == self.k:
+            self.bound[at] = max(self.bound[at], s[order[-1]])
 
     def rows(self) -> pa.RecordBatch:
         n = [len(s) for s in self.scores]
@@ -167,9 +229,11 @@ def search(rows: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id",
     """(query_id, rank, vec_id, score): the k best rows for each row that queries picks."""
     spark = rows.sparkSession
     plain = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    blocks = packed(quantised(plain.select("id", "vector"), scale), "candidates")
+    blocks = packed(quantised(plain.select("id", "vector"), scale), "candidates", BLOCK_BYTES, partitions(spark))
     one = F.min(F.struct("dim", "norm", "vector")).alias("v")
-    asked = packed(quantised(plain.where("asks").select("id", "vector"), scale).groupBy("id").agg(one).select("id", "v.*"), "queries")
+    single = cut(quantised(plain.where("asks").select("id", "vector"), scale).groupBy("id").agg(one).select("id", "v.*"), "asked")
+    size = single.agg(F.sum(F.octet_length("vector"))).first()[0] or 0
+    asked = packed(single, "queries", GROUP_BYTES, size // GROUP_BYTES + 1)
 
     sizes = blocks.groupBy("dim").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"), F.max_by("name", "top").alias("first"))
     main = sizes.orderBy(F.desc("n"), "dim").first()
@@ -192,19 +256,20 @@ def search(rows: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id",
         got = blocks.where(F.col("dim") == dim).select("name", "vectors").mapInArrow(thin, "vectors binary").limit(SAMPLE_ROWS).toArrow().column("vectors").to_pylist()
         turn = rotation(np.concatenate([np.frombuffer(v, "<i8").reshape(-1, dim) for v in got]).astype(np.float64)[: 2 * SAMPLE_ROWS]) if got else None
     shipped = spark.sparkContext.broadcast(turn)  # dim * dim numbers
+    near_all = sizes.count() <= MOST_DIMS
 
     def first_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                best = Best(Block.of(r["ids"], r["vectors"], r["dim"], shipped.value), np.full(r["n"], LEAST), k)
+                best = Best(Block.of(r["ids"], r["vectors"], r["dim"], None), np.full(r["n"], LEAST), k)
                 if r["c_ids"] is not None:
-                    best.meet(Block.of(r["c_ids"], r["c_vectors"], r["dim"], shipped.value))
+                    best.meet(Block.of(r["c_ids"], r["c_vectors"], r["dim"], None))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     needs = np.where(best.bound == LEAST, -np.inf, best.bound / np.maximum(best.queries.norms, 1e-9))
                 yield pa.RecordBatch.from_arrays([pa.array([r["name"]]), pa.array([r["dim"]], pa.int32()), pa.array([r["ids"]]), pa.array([r["vectors"]]), pa.array([best.bound.astype("<i8").tobytes()]), pa.array([float(needs.min()) * (1 - 1e-9) - 1e-6])], ["name", "dim", "ids", "vectors", "bounds", "needs"])
 
     heads = blocks.join(F.broadcast(sizes.select(F.col("first").alias("name"))), "name", "left_semi").select("dim", F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
-    bounded = cut(asked.join(heads, "dim", "left").mapInArrow(first_bound, "name long, dim int, ids binary, vectors binary, bounds binary, needs double"), "bounds")
+    bounded = cut(asked.join(F.broadcast(heads) if near_all else heads, "dim", "left").mapInArrow(first_bound, "name long, dim int, ids binary, vectors binary, bounds binary, needs double"), "bounds")
     groups = max(1, bounded.count())
     slices = max(1, min(main.blocks, max(-(-main.blocks // SLICE_BLOCKS), -(-2 * partitions(spark) // groups))))
 
@@ -217,15 +282,15 @@ def search(rows: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id",
     stream = openers.unionByName(met).repartition(partitions(spark), "name", "slice").sortWithinPartitions("name", "slice", "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
+        best, turn_of = None, shipped.value
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
-                block = Block.of(r["ids"], r["vectors"], r["dim"], shipped.value)
+                block = Block.of(r["ids"], r["vectors"], r["dim"], turn_of)
                 if r["bounds"] is not None:
                     if best is not None:
                         yield best.rows()
-                    best = Best(block, np.frombuffer(r["bounds"], "<i8"), k)
+                    best = Best(block, np.frombuffer(r["bounds"], "<i8"), k, turn_of[1] if turn_of is not None and len(turn_of[0]) == r["dim"] else ())
                 else:
                     best.meet(block)
         if best is not None:

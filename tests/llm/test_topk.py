@@ -68,3 +68,40 @@ def test_query_on_a_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert {tuple(r) for r in topk.op6(spark, sf).collect()} == brute(rows)
+
+
+def shares(x, block=256, k=20):
+    """The share of pairs that are scored exactly, of the vectors of x by descending length, every 20th asking; results against all products."""
+    v = np.floor(x * 64).astype(np.int64)
+    v = v[np.argsort(-np.linalg.norm(v, axis=1), kind="stable")]
+    turn = topk.rotation(v[::4].astype(float))
+    ids = np.arange(len(v))
+    of = lambda at: topk.Block.of(ids[at].astype("<i8").tobytes(), v[at].astype("<i8").tobytes(), v.shape[1], turn)
+    asked = ids[ids % 20 == 0]
+    best = topk.Best(of(asked), np.full(len(asked), topk.LEAST), k, turn[1])
+    for at in range(0, len(v), block):
+        best.meet(of(ids[at : at + block]))
+    whole = v[asked] @ v.T
+    for n, q in enumerate(asked):
+        whole[n, q] = topk.LEAST + 1
+        order = np.lexsort((ids, -whole[n]))[:k]
+        assert best.ids[n].tolist() == order.tolist() and best.scores[n].tolist() == whole[n, order].tolist()
+    return best.scored / (len(asked) * len(v))
+
+
+def test_bounds_prune_where_lengths_or_directions_differ():
+    rng = np.random.default_rng(5)
+    flat = rng.normal(size=(4000, 32))
+    flat /= np.linalg.norm(flat, axis=1)[:, None]
+    assert shares(flat * rng.lognormal(0, 1.5, (4000, 1))) < 0.25
+    assert shares(rng.normal(size=(4000, 32)) * np.geomspace(3, 0.03, 32)) < 0.35
+    centres = rng.normal(size=(40, 32))
+    assert shares(centres[rng.integers(0, 40, 4000)] + 0.1 * flat) < 0.9
+    assert shares(flat) < 0.5 < shares(flat[:300], block=300)  # where all are alike, only the last cut tells, once bounds have grown
+
+
+@pytest.mark.parametrize("sparse", [0.0, 1.1])
+def test_both_ways_of_scoring(monkeypatch, sparse):
+    monkeypatch.setattr(topk, "SPARSE", sparse)
+    rng = np.random.default_rng(6)
+    shares(rng.normal(size=(700, 6)) * rng.lognormal(0, 1, (700, 1)), block=64)
