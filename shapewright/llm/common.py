@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,19 +29,53 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+#: Paths that cut() wrote, a list for each scope that is open.
+_scopes: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and lost executors lose nothing.
 
-    The files go when the driver's JVM ends."""
+    The files go at the end of the innermost scratch(), or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/shapewright-{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs, at = _at(spark, path)
+    fs.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def outside() -> Iterator[None]:
+    """What cut() writes inside belongs to the scope around the innermost one."""
+    held = _scopes.pop() if _scopes else None
+    try:
+        yield
+    finally:
+        if held is not None:
+            _scopes.append(held)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() writes inside are deleted at the end: for a step whose result is written before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            fs, at = _at(spark, path)
+            fs.delete(at, True)
+            fs.cancelDeleteOnExit(at)
+
+
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table of parameters as a plan literal: no RDD, no Python worker."""
     if len(rows) > MAX_LITERAL_ROWS:

@@ -24,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shapewright.llm.common import read, text_batches
+from shapewright.llm.common import cut, read, text_batches
 from shapewright.llm.textkernel import chunks, mix64, tidied
 
 SAMPLE_DOCS = 1_500
+#: N-grams of a language at most: those in most documents of the sample.
 GRAMS = 40_000
+#: Languages of labelled rows at most; more are an error.
+MOST_LANGS = 64
 SIZES = (3, 5)
 SLOTS = 1 << 20
 HASHES = 3
@@ -130,6 +133,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # as many rows as languages; then all languages share one sample size
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes, key=lambda x: (-sizes[x], x))
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"{len(langs)} languages are labelled; {MOST_LANGS} at most")
     if not langs:
         return Model([])
     spread = 1 << 40
@@ -152,12 +157,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     docs_of = {number[r.lang]: r.n for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     counted = sample.mapInArrow(tidied(count), "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     per = F.create_map(*[x for k, n in docs_of.items() for x in (F.lit(k), F.lit(float(n)))]) if docs_of else F.lit(None)
-    shared = counted.withColumn("share", F.col("n") / F.element_at(per, F.col("k"))).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
-    first = Window.partitionBy("k").orderBy(F.desc("share"), "gram")
-    kept = shared.where(F.col("share") >= PART * F.col("most")).withColumn("at", F.row_number().over(first)).where(F.col("at") <= GRAMS) if docs_of else None
     known: dict[int, np.ndarray] = {}
-    if kept is not None:  # GRAMS rows a language at most
-        got = kept.select("k", "gram").toArrow()
+    if docs_of:
+        shared = counted.withColumn("share", F.col("n") / F.element_at(per, F.col("k"))).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
+        own = cut(shared.where(F.col("share") >= PART * F.col("most")).select("k", "gram", "n"), "grams")
+        # a histogram by numbers of documents, of which a language has few, tells the least number with GRAMS n-grams or fewer from there on
+        least, left = {}, dict.fromkeys(docs_of, GRAMS)
+        for r in own.groupBy("k", "n").agg(F.count("*").alias("grams")).orderBy(F.desc("n")).collect():
+            left[r.k] -= r.grams
+            if left[r.k] >= 0:
+                least[r.k] = r.n
+        enough = F.create_map(*[x for k in docs_of for x in (F.lit(k), F.lit(least.get(k, 1 << 60)))])
+        got = own.where(F.col("n") >= F.element_at(enough, F.col("k"))).select("k", "gram").toArrow()  # GRAMS rows a language at most
         ks, gs = np.asarray(got.column("k")), np.asarray(got.column("gram")).astype(np.int64).view(np.uint64)
         known = {int(k): gs[ks == k] for k in np.unique(ks)}
     return Model.build(langs, known)

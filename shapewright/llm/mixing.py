@@ -86,7 +86,9 @@ def mix(docs: DataFrame, parts: dict[str, int], other_parts: int = 1, block_rows
     keyed = keyed.withColumn("__bucket", F.shiftrightunsigned("__deal", 64 - bits))
     before = Window.partitionBy("__stream").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy("__stream", "__bucket").agg(F.count("*").alias("__n")).select("__stream", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("__stream", "__bucket").orderBy("__deal", id_col)
+    # rows that tie in all that can be hashed may change places: a task that runs again deals them as it did before
+    plain = [f.name for f in docs.schema.fields if f.name in own and not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    inside = Window.partitionBy("__stream", "__bucket").orderBy("__deal", id_col, F.xxhash64(*plain), F.xxhash64(F.lit(1), *plain))
     ranked = keyed.withColumn("__at", F.row_number().over(inside) - 1).join(starts, ["__stream", "__bucket"]).withColumn("__rank", F.col("__start") + F.col("__at"))
     ranked = ranked.withColumn("__block", F.expr(f"__rank div {block_rows}"))
     plan = phases(shares, {k: -(-n // block_rows) for k, n in rows.items()})

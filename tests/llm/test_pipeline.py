@@ -1,3 +1,4 @@
+import os
 import random
 import struct
 from collections import Counter
@@ -120,3 +121,48 @@ def test_run_keeps_the_order_of_the_mixture_over_many_files(spark, tmp_path):
     sources, names = [r.source for r in got], sorted(mixing.PARTS)
     assert len(got) > 150 and sources == [names[r["stream"]] for r in _slots(Counter(sources))]
     assert [r.mix_place for r in got] == list(range(len(got)))
+
+
+EDGES = "doc_id long, text string, lang string, source string, n_chars long, kept string, mix_slot string, node int, doc int, mark string, lang_pred int, known string"
+
+
+def test_edges(spark, tmp_path):
+    """Nulls in every column, blank and long texts, ties, repeated rows, null and repeated ids, and columns of the names that stages add."""
+    rng = random.Random(2)
+    words = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").limit(30).collect() if r.text]
+    more = ("kept", "slot", 1, 2, "mark", 3, "known")
+    base = " ".join(words[0].split()[:60] + words[1].split()[:60])
+    rows = [(i, t, "en", f"src{i % 3}", len(t), *more) for i, t in enumerate(words)]
+    rows += [rows[2], rows[2], (2, words[3], "en", None, None, *more), (None, base, "en", "src1", 1, *more), (None, base + " tail", None, None, None, *[None] * 7), (None, " ".join(rng.choices(" ".join(words).split(), k=90)), "en", "src9", 0, *more)]
+    rows += [(900, None, None, None, None, *[None] * 7), (901, "", "en", "src0", 0, *more), (902, " \n\t", "en", "src0", 3, *more), (903, "123 456", "en", "src0", 7, *more), (904, " ".join(rng.choices(words, k=300)), "en", "src0", 9, *more)]
+    docs = spark.createDataFrame(rows, EDGES).repartition(3)
+    given = docs.columns
+    left = docs
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before, left = left, corpus_pipeline.cut(stage(spark, left, ""), "edges")
+        assert left.columns == given and 0 < left.count() <= before.count(), name
+        if number == 0:
+            assert {r.doc_id for r in before.collect()} - {r.doc_id for r in left.collect()} == {900, 901, 902, 903}
+        if number == 1:
+            assert left.where("doc_id = 2 AND source = 'src2'").count() <= 1 and left.where("doc_id IS NULL").count() == 2
+        if number == 2:
+            assert left.count() == before.count() and left.where("kept = 'kept'").count() == before.where("kept = 'kept'").count()
+        if number == 3:
+            assert Counter(map(str, left.collect())) == Counter(map(str, before.collect()))
+    docs.write.parquet(f"{tmp_path}/some/documents.parquet")
+    assert len(corpus_pipeline.run(spark, f"{tmp_path}/some").collect()) == left.count()
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert got.collect() == [] and "mix_place" in got.columns
+
+
+def test_scratch_tables_go(spark):
+    from shapewright.llm.common import cut, outside, scratch
+
+    with scratch(spark):
+        gone = cut(spark.range(3), "gone")
+        at = gone.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(at)
+        with outside():
+            stays = cut(gone, "stays")
+    assert stays.count() == 3 and not os.path.exists(at)
