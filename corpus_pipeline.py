@@ -17,12 +17,23 @@ from shapewright.llm.common import cut, outside, scratch
 NEAR_WORDS = 5
 
 
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns used, and the others as one, so that none is taken for a column that an operator adds."""
+    return docs.select(*used, F.struct(F.lit(True).alias("row"), *[F.col(c).alias(f"of_{i}") for i, c in enumerate(docs.columns) if c not in used]).alias("__others"))
+
+
+def back(made: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of docs, those used from made."""
+    return made.select(*[F.col(c) if c in used else F.col(f"__others.of_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are text in a learned language.
 
     Null and empty texts, and texts without a letter, go; long texts are judged as a whole; a tie goes to the language with more labelled
     rows; rows that occur again are judged alike; where no row has a language, none is learned and all go."""
-    return langid.keep(docs)
+    used = ("doc_id", "text", "lang")
+    return back(langid.keep(aside(docs, *used)), docs, *used)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +49,16 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay as they are; rows with equal ids, and all rows without one, are one document and take nothing from each
     other; null ids count as the largest; a text that is all passages becomes empty or white space, and its row stays."""
-    made = substring.remove(docs, spaced=True).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return made.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    made = substring.remove(aside(docs, "doc_id", "text"), spaced=True).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    return back(made.withColumn("n_chars", F.char_length("text").cast("bigint")), docs, "doc_id", "text", "n_chars")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture.
 
     Null and unknown sources are one stream; rows with equal or null ids are dealt by the hash of the id, then of the whole row."""
-    return mixing.in_order(mixing.mix(docs, mixing.PARTS, mixing.OTHER_PARTS)).select(*docs.columns)
+    used = ("doc_id", "source")
+    return back(mixing.in_order(mixing.mix(aside(docs, *used), mixing.PARTS, mixing.OTHER_PARTS)), docs, *used)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
