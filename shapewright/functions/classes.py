@@ -7,20 +7,19 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Type names by class.
 NAMES = {
-    "int": "int integer int8 int16 int32 int64 bigint smallint tinyint long hugeint ubigint uinteger usmallint utinyint",
-    "decimal": "decimal float float4 float8 double numeric number real money",
-    "bool": "bool boolean bit",
-    "date": "date",
-    "timestamp": "timestamp|datetime|timestamp with time zone|timestamptz|timestamp_s|timestamp_ms|timestamp_us|timestamp_ns",
-    "text": "text string varchar char nvarchar nchar str utf8 enum",
-    "blob": "blob binary varbinary bytea",
-    "any": "any * unknown interval json map list struct union",
+    "int": ("int", "integer", "int8", "int16", "int32", "int64", "bigint", "smallint", "tinyint", "long", "hugeint", "ubigint", "uinteger", "usmallint", "utinyint"),
+    "decimal": ("decimal", "float", "float4", "float8", "double", "numeric", "number", "real", "money"),
+    "bool": ("bool", "boolean", "bit"),
+    "date": ("date",),
+    "timestamp": ("timestamp", "datetime", "timestamp with time zone", "timestamptz", "timestamp_s", "timestamp_ms", "timestamp_us", "timestamp_ns"),
+    "text": ("text", "string", "varchar", "char", "nvarchar", "nchar", "str", "utf8", "enum"),
+    "blob": ("blob", "binary", "varbinary", "bytea"),
+    "any": ("any", "*", "unknown", "interval", "json", "map", "list", "struct", "union"),
 }
-ALIASES = {name: cls for cls, names in NAMES.items() for name in names.split("|" if "|" in names else " ")}
+ALIASES = {name: cls for cls, names in NAMES.items() for name in names}
 CLASSES = tuple(NAMES)
 
 # Fixed values: (declared, observed) pairs that load, but are worth a warning.
@@ -31,11 +30,6 @@ def normalize(name: str) -> str:
     return ALIASES.get(name.strip().lower().split("(", 1)[0].strip(), "any")
 
 
-def normalize_column(name: Column) -> Column:
-    base = F.trim(F.substring_index(F.lower(F.regexp_replace(name, r"^\s+|\s+$", "")), "(", 1))
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv]), base), F.lit("any"))
-
-
 def compatibility(declared: str, observed: str) -> str:
     if "any" in (declared, observed) or declared == observed:
         return "identical"
@@ -48,19 +42,6 @@ def compatibility_column(declared: Column, observed: Column) -> Column:
     return F.when(same, "identical").when(widens, "widening").otherwise("breaking")
 
 
-def of_spark(kind: T.DataType) -> str:
-    by_kind = [
-        ((T.ByteType, T.ShortType, T.IntegerType, T.LongType), "int"),
-        ((T.FloatType, T.DoubleType, T.DecimalType), "decimal"),
-        ((T.BooleanType,), "bool"),
-        ((T.DateType,), "date"),
-        ((T.TimestampType, T.TimestampNTZType), "timestamp"),
-        ((T.StringType,), "text"),
-        ((T.BinaryType,), "blob"),
-    ]
-    return next((cls for kinds, cls in by_kind if isinstance(kind, kinds)), "any")
-
-
 # Patterns that mean the same to Java, RE2 and Python.
 INT = r"^[+-]?[0-9]+$"
 DECIMAL = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -77,21 +58,15 @@ def of_value(value: str, leading_zeros_as_text: bool = False) -> str:
     for cls, pattern in _LADDER:
         if pattern.match(value):
             if cls == "int":
-                if leading_zeros_as_text and len(value.lstrip("+-")) > 1 and value.lstrip("+-")[0] == "0":
+                digits = value.lstrip("+-")
+                if leading_zeros_as_text and len(digits) > 1 and digits[0] == "0":
                     return "text"
-                return "int" if -_LONG <= int(value) < _LONG else "decimal"
+                # digits beyond those of 64 bits are told by their number, as there may be any number of them
+                return "int" if len(digits.lstrip("0")) <= 19 and -_LONG <= int(value) < _LONG else "decimal"
             return cls
     return "text"
 
 
-def of_value_column(value: Column) -> Column:
-    """of_value without its look at sizes and zeros."""
-    out = None
-    for cls, pattern in LADDER:
-        out = F.when(value.rlike(pattern), cls) if out is None else out.when(value.rlike(pattern), cls)
-    return out.otherwise("text")
-
-
 def joined(classes: Iterable[str]) -> str:
     """The class of a column whose values have these; "any" for none."""
     seen = set(classes)

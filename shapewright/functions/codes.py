@@ -70,13 +70,6 @@ def severity(code: str, mode: str | None = None) -> str:
     return found
 
 
-def severity_column(code: Column, mode: Column) -> Column:
-    """severity() over columns; null where there is none."""
-    table = F.create_map(*[x for c, by in SEVERITIES.items() for m, s in by.items() for x in (F.lit(f"{c}|{m}"), F.lit(s))])
-    own = F.try_element_at(table, F.concat_ws("|", code, F.coalesce(mode, F.lit(""))))
-    return F.coalesce(own, F.try_element_at(table, F.concat(code, F.lit("|"))))
-
-
 #: A finding as a struct.
 FINDING = "struct<reason_code:string,severity:string,locus:string,expected:string,found:string,explanation:string,confidence:int>"
 FINDINGS = FINDING[7:-1].replace(":", " ").replace(",", ", ")

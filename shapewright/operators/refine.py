@@ -57,11 +57,3 @@ def observations(table: DataFrame) -> DataFrame:
     counts = table.agg(F.count("*").alias("__n"), *[F.count(F.col(c)).alias(f"__{i}") for i, c in enumerate(names)])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col("__n").alias("rows"), (F.col("__n") - F.col(f"__{i}")).alias("nulls")) for i, c in enumerate(names)]))
     return counts.select(rows.alias("x")).select("x.*", F.coalesce(F.try_divide("x.nulls", "x.rows"), F.lit(0.0)).alias("null_fraction"))
-
-
-def bounded_sample(rows: DataFrame, first: int, more: int, order: str, partition: str) -> DataFrame:
-    """Of each partition the first rows by order, and more of the rest: the same ones at each run, dealt by a fixed rule over the order."""
-    own = Window.partitionBy(partition)
-    numbered = rows.withColumn("__rn", F.row_number().over(own.orderBy(order)))
-    rest = F.row_number().over(own.orderBy(F.col("__rn") <= first, (F.col("__rn") * 7919) % 10007, "__rn"))
-    return numbered.withColumn("__k", rest).where((F.col("__rn") <= first) | (F.col("__k") <= more)).drop("__rn", "__k")

@@ -46,6 +46,6 @@ def place_text(same: Column) -> Column:
 
 def overlaps(found: DataFrame) -> DataFrame:
     """Pairs of families that share a column, with their likeness; families, not files, are paired, by their columns."""
-    side = lambda n: found.select(F.col("family_id").alias(f"{n}_id"), F.col("key").alias(f"{n}_key"), F.explode("key").alias("column"))
-    pairs = side("a").join(side("b"), "column").where("a_id < b_id").select("a_id", "b_id", "a_key", "b_key").distinct()
-    return pairs.select("a_id", "b_id", jaccard(F.col("a_key"), F.col("b_key")).alias("jaccard"), relation(F.col("a_key"), F.col("b_key")).alias("relation"))
+    side = lambda n: found.select(F.col("family_id").alias(f"{n}_id"), F.col("key").alias(f"{n}_key"), F.col("representative_columns").alias(f"{n}_columns"), F.explode("key").alias("column"))
+    pairs = side("a").join(side("b"), "column").where("a_id < b_id").drop("column").distinct()
+    return pairs.select("a_id", "b_id", "a_columns", "b_columns", jaccard(F.col("a_key"), F.col("b_key")).alias("jaccard"), relation(F.col("a_key"), F.col("b_key")).alias("relation"))

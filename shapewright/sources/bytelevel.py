@@ -37,7 +37,7 @@ MAGIC = (
     (b"Obj\x01", "avro"),
 )
 TEXTUAL = frozenset({"csv", "tsv", "json", "jsonl", "xml", "text", "fixed-width"})
-#: Files of these extensions describe data; they are catalogued as text, whatever they hold.
+# Extensions of files that describe data and are catalogued as text, whatever they hold; delimiters, the first wins ties.
 NOT_DATA = frozenset(".schema .md .sql .ddl .py .sh .yml .yaml .git .gitignore .txt".split())
 DELIMITERS = ("\t", "|", ";", ",")
 

@@ -6,20 +6,21 @@ import os
 from dataclasses import dataclass, field, replace
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from shapewright.functions.codes import FINDINGS, finding, severity
+from shapewright.functions.codes import FINDINGS, severity
+from shapewright.sources.readers import Bounds
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Ceilings of a scan; files beyond file_count are not looked at, the other ceilings only warn."""
+    """Ceilings of a scan; files beyond file_count are not looked at, the other ceilings only warn. bounds: how much of a file is read."""
 
     file_count: int = 10_000
     total_bytes: int = 50 * 1024**3
     depth: int = 20
     exclude: tuple[str, ...] = ()
+    bounds: Bounds = Bounds()
     options: dict = field(default_factory=dict)
 
     def excluding(self, path: str) -> Limits:
@@ -115,6 +116,12 @@ def list_files(spark: SparkSession, expression: str, limits: Limits = Limits())
     found = [x for x in found if x[0] not in gone]
     if not found:
         return Listing([], [say("FORMAT_UNRECOGNIZED", "WARN", "path_expression", "at least one file", "0 files", f"'{expression}' matches no file.")], 0)
+    return within(found, expression, limits)
+
+
+def within(found: list[tuple[str, int]], expression: str, limits: Limits) -> Listing:
+    """The ceilings over (path, bytes) in the order of paths."""
+    say = lambda code, level, locus, expected, found, why: (code, level, locus, expected, found, why, 1)
     findings = []
     plain = expression.removeprefix("file://") if expression.startswith("file:///") else expression
     base = base_of(plain if "://" in plain else os.path.abspath(plain))
@@ -137,16 +144,3 @@ def list_files(spark: SparkSession, expression: str, limits: Limits = Limits())
 
 def findings_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, FINDINGS)
-
-
-def count_ceiling(files: DataFrame, most: int, order: str = "path") -> DataFrame:
-    """The first files by order: a top-k, not a full sort."""
-    return files.orderBy(order).limit(most)
-
-
-def byte_ceiling(files: DataFrame, most: int) -> DataFrame:
-    """One finding where the running size over file_id first passes the ceiling."""
-    running = F.sum("size_bytes").over(Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, 0))
-    first = files.withColumn("running", running).where(F.col("running") > most).orderBy("file_id").limit(1)
-    why = F.format_string("At '%s' the files' sizes pass %d bytes.", F.col("path"), F.lit(most))
-    return first.select(finding("BYTE_CEILING", severity("BYTE_CEILING"), F.col("path"), f"{most} bytes at most", F.concat(F.col("running").cast("string"), F.lit(" bytes")), why).alias("f")).select("f.*")

@@ -12,20 +12,33 @@ import tempfile
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
 from shapewright.functions.classes import joined, of_value
 from shapewright.sources import bytelevel as by
 
-LINES, ROWS, FIRST = 10_000, 2_000, 1_000
-XML_HEAD, XML_DEPTH = 256 << 10, 5
-ZIP_BYTES, SHEET_ROWS, JSON_BYTES = 512 << 20, 100, 16 << 20
+csv.field_size_limit(16 << 20)  # a field beyond it is taken for a quote that isn't closed
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """How much of one file is read. Where more is there, the file's row says so (partial)."""
+
+    lines: int = 10_000  # whose delimiters are counted
+    rows: int = 2_000  # typed without exception; of later ones a thinning share
+    first: int = 1_000
+    xml_bytes: int = 256 << 10
+    xml_depth: int = 5
+    zip_bytes: int = 512 << 20
+    sheet_rows: int = 100
+    json_bytes: int = 16 << 20  # of one object
 
 
 @dataclass
 class Found:
-    """names None: nothing to profile; types by position, None where not known."""
+    """names None: nothing to profile; types by position, None where not known; nulls: empty values by position among the rows typed."""
 
     names: list[str] | None = None
     types: list[str | None] | None = None
@@ -33,15 +46,23 @@ class Found:
     quote: str | None = None
     has_header: bool | None = None
     rows: int | None = None
-    counts: list[int] = field(default_factory=list)
+    counts: list[int | None] = field(default_factory=list)
+    nulls: list[int] | None = None
+    typed: int | None = None
+    partial: bool = False
     error: str | None = None
     bucket: str | None = None
     depth: int = 0
 
 
-def keep_row(n: int, seen: int) -> bool:
-    """The bounded sample of rows: the first ones, and later ones thinned out by a fixed multiplicative rule."""
-    return n < FIRST or (n * 2_654_435_761 % (1 << 32)) * max(seen - FIRST, 1) < (ROWS - FIRST) << 32
+def is_typed(n: int, bounds: Bounds = Bounds()) -> bool:
+    """Whether the n-th row of data is looked at: the first ones, and later ones thinned out by a fixed multiplicative rule."""
+    return n <= bounds.rows or (n * 2_654_435_761 % (1 << 32)) * (n - bounds.first) < (bounds.rows - bounds.first) << 32
+
+
+def delimiters_in(line: str, delimiter: str) -> int | None:
+    """The delimiters of a line, None for an empty one: it has a number, but no columns."""
+    return line.count(delimiter) if line else None
 
 
 def header_of(rows: list[list[str]]) -> bool:
@@ -56,8 +77,8 @@ def header_of(rows: list[list[str]]) -> bool:
     return all(c in ("text", "any") for c in classes) and "text" in classes
 
 
-def read_csv(file: BinaryIO, encoding: str, gzipped: bool = False, quote_aware: bool = False, leading_zeros_as_text: bool = False, types: bool = True) -> Found:
-    """A delimited file; counts: delimiters of each of the first LINES lines."""
+def read_csv(file: BinaryIO, encoding: str, gzipped: bool = False, quote_aware: bool = False, leading_zeros_as_text: bool = False, types: bool = True, bounds: Bounds = Bounds()) -> Found:
+    """A delimited file; counts: delimiters of each of the first lines, blank ones None."""
     lines = by.lines_from(file, encoding, gzipped)
     head = list(itertools.islice(lines, 200))
     full = [x for x in head if x.strip()]
@@ -70,61 +91,95 @@ def read_csv(file: BinaryIO, encoding: str, gzipped: bool = False, quote_aware:
     def parsed(source):
         return csv.reader(source, delimiter=delimiter, quotechar='"')
 
-    sample = list(itertools.islice(parsed(full), 60))
-    header = header_of(sample)
-    names = [x.strip() for x in sample[0]] if header else [f"column{i}" for i in range(len(sample[0]))]
-    names = [x or f"column{i}" for i, x in enumerate(names)]
-    counts: list[int] = []
+    counts: list[int | None] = []  # by lines
+    fields: list[int | None] = []  # by rows
+    physical = filled = 0
 
     def watched():
+        nonlocal physical, filled
         for line in itertools.chain(head, lines):
-            if len(counts) < LINES and line:
-                counts.append(line.count(delimiter) if not quote_aware else None)  # type: ignore[arg-type]
+            physical += 1
+            if physical <= bounds.lines:
+                counts.append(delimiters_in(line, delimiter))
             if line.strip():
+                filled += 1
                 yield line
 
-    seen = [set() for _ in names]
-    n, ragged = 0, False
-    for number, row in enumerate(parsed(watched())):
-        if quote_aware and number < LINES:
-            counts[number : number + 1] = [len(row) - 1]
-        if header and number == 0:
-            continue
-        n += 1
-        if types and (n <= ROWS or keep_row(n, n)):
-            if len(row) != len(names):
-                ragged = True
-            for i, v in enumerate(row[: len(names)]):
-                if v := v.strip():
-                    seen[i].add(of_value(v, leading_zeros_as_text))
-    if quote_aware:
-        counts = [c for c in counts if c is not None]
+    rest = watched()
+    try:
+        reader = parsed(full)
+        sample = [next(reader)]
+        if reader.line_num > 1:
+            raise csv.Error("a quote of the header isn't closed")
+        sample += itertools.islice(reader, 59)
+        header = header_of(sample)
+        names = [x.strip() for x in sample[0]] if header else [f"column{i}" for i in range(len(sample[0]))]
+        names = [x or f"column{i}" for i, x in enumerate(names)]
+        seen, nulls = [set() for _ in names], [0] * len(names)
+        n, typed, ragged = 0, 0, False
+        for number, row in enumerate(parsed(rest)):
+            if quote_aware and number < bounds.lines:
+                fields.append(len(row) - 1)
+            if header and number == 0:
+                continue
+            n += 1
+            if types and is_typed(n, bounds):
+                typed += 1
+                ragged = ragged or len(row) != len(names)
+                for i, v in enumerate(row[: len(names)]):
+                    if v := v.strip():
+                        seen[i].add(of_value(v, leading_zeros_as_text))
+                    else:
+                        nulls[i] += 1
+    except csv.Error:  # quotes that don't pair up: the first line names the columns, and lines are rows
+        for _ in rest:
+            pass
+        names = [x.strip("\"' ") or f"column{i}" for i, x in enumerate(full[0].split(delimiter))]
+        return Found(names, None, delimiter, quote, True, filled - 1, counts, partial=physical > bounds.lines)
     classes = None if ragged or not types else [joined(s) for s in seen]
-    return Found(names, classes, delimiter, quote, header, n, counts)
+    return Found(names, classes, delimiter, quote, header, n, fields if quote_aware else counts, nulls if types else None, typed if types else None, partial=physical > bounds.lines or types and typed < n)
 
 
 # Parquet's logical and physical types by class.
 ARROW = (("bool", "bool"), ("int", "int"), ("uint", "int"), ("float", "decimal"), ("double", "decimal"), ("halffloat", "decimal"), ("decimal", "decimal"), ("date", "date"), ("timestamp", "timestamp"), ("string", "text"), ("large_string", "text"), ("binary", "blob"), ("large_binary", "blob"), ("fixed_size_binary", "blob"))
 
 
+def leaf_types(kind) -> Iterator:
+    """The types of the leaves of an Arrow type, in the order of Parquet's columns."""
+    import pyarrow as pa
+
+    if pa.types.is_dictionary(kind):
+        yield from leaf_types(kind.value_type)
+    elif pa.types.is_map(kind):
+        yield from leaf_types(kind.key_type)
+        yield from leaf_types(kind.item_type)
+    elif pa.types.is_nested(kind):
+        for i in range(kind.num_fields):
+            yield from leaf_types(kind.field(i).type)
+    else:
+        yield kind
+
+
 def read_parquet(file: BinaryIO) -> Found:
-    """From the footer alone."""
+    """From the footer alone: the leaf columns, by their own names."""
     import pyarrow.parquet as pq
 
     meta = pq.read_metadata(file)
     schema = meta.schema.to_arrow_schema()
     cls = lambda t: next((c for name, c in ARROW if str(t).startswith(name)), "any")
-    return Found([f.name for f in schema], [cls(f.type) for f in schema], rows=meta.num_rows)
+    kinds = [t for f in schema for t in leaf_types(f.type)]
+    names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+    return Found(names, [cls(t) for t in kinds] if len(kinds) == len(names) else None, rows=meta.num_rows)
 
 
-def read_json(file: BinaryIO, encoding: str, by_line: bool) -> Found:
+def read_json(file: BinaryIO, encoding: str, by_line: bool, bounds: Bounds = Bounds()) -> Found:
     """Top-level field names in the order of their first sight."""
     names: dict[str, None] = {}
     n = 0
     if by_line:
         for line in by.lines_from(file, encoding):
             if line.strip():
-                if len(line) > JSON_BYTES:
+                if len(line) > bounds.json_bytes:
                     raise ValueError("a JSON object is too long")
                 n += 1
                 value = json.loads(line)
@@ -159,9 +214,9 @@ def read_sqlite(file: BinaryIO, path: str | None) -> Found:
     return Found([c if len(tables) == 1 else f"{t}.{c}" for t, c in columns])
 
 
-def read_xml(file: BinaryIO) -> Found:
+def read_xml(file: BinaryIO, bounds: Bounds = Bounds()) -> Found:
     """Paths of elements down to a depth, namespaces left out, from the head of the file."""
-    data = file.read(XML_HEAD)
+    data = file.read(bounds.xml_bytes)
     paths: set[str] = set()
     stack: list[str] = []
     parser = ET.XMLPullParser(events=("start", "end"))
@@ -170,7 +225,7 @@ def read_xml(file: BinaryIO) -> Found:
         for event, element in parser.read_events():
             if event == "start":
                 stack.append(element.tag.rsplit("}", 1)[-1])
-                if len(stack) <= XML_DEPTH + 1:
+                if len(stack) <= bounds.xml_depth + 1:
                     paths.add("/".join(stack))
             else:
                 stack.pop()
@@ -179,16 +234,16 @@ def read_xml(file: BinaryIO) -> Found:
     try:
         parser.feed(data)
         drain()
-        if len(data) < XML_HEAD:
+        if len(data) < bounds.xml_bytes:
             parser.close()
             drain()
     except ET.ParseError as e:
-        if len(data) < XML_HEAD or not paths:
+        if len(data) < bounds.xml_bytes or not paths:
             return Found(error=f"not well-formed: {e}", bucket="degraded")
-    return Found(sorted(paths)) if paths else Found(error="no elements", bucket="degraded")
+    return Found(sorted(paths), partial=len(data) == bounds.xml_bytes) if paths else Found(error="no elements", bucket="degraded")
 
 
-def read_zip(file: BinaryIO) -> Found:
+def read_zip(file: BinaryIO, bounds: Bounds = Bounds()) -> Found:
     """What a ZIP holds isn't opened; whether it could be is told."""
     try:
         with zipfile.ZipFile(file) as z:
@@ -197,8 +252,8 @@ def read_zip(file: BinaryIO) -> Found:
         return Found(error=f"bad ZIP: {e}", bucket="degraded")
     if any(m.flag_bits & 1 for m in members):
         return Found(error="ENCRYPTED_ARCHIVE: members are encrypted", bucket="refused", depth=1)
-    if sum(m.file_size for m in members) > ZIP_BYTES:
-        return Found(error=f"holds more than {ZIP_BYTES} bytes", bucket="catalogued", depth=1)
+    if sum(m.file_size for m in members) > bounds.zip_bytes:
+        return Found(error=f"holds more than {bounds.zip_bytes} bytes", bucket="catalogued", depth=1)
     if any(m.filename.lower().endswith((".zip", ".gz")) for m in members):
         return Found(error="NESTED_ARCHIVE: holds further archives", bucket="catalogued", depth=1)
     return Found(bucket="catalogued", depth=1)
@@ -209,8 +264,8 @@ NS = re.compile(r"^\{[^}]*\}")
 DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
 
 
-def read_excel(file: BinaryIO) -> Found:
-    """The first sheet: its first row names the columns, the next SHEET_ROWS show their types."""
+def read_excel(file: BinaryIO, bounds: Bounds = Bounds()) -> Found:
+    """The first sheet: its first row names the columns, the next ones show their types."""
     tag = lambda e: NS.sub("", e.tag)
     with zipfile.ZipFile(file) as z:
         names = set(z.namelist())
@@ -255,6 +310,7 @@ def read_excel(file: BinaryIO) -> Found:
             return n - 1
 
         rows: list[dict[int, tuple[str, str]]] = []
+        partial = False
         with z.open(sheet) as stream:
             for _, row in ET.iterparse(stream):
                 if tag(row) != "row":
@@ -265,7 +321,8 @@ def read_excel(file: BinaryIO) -> Found:
                     cells[at] = cell(c)
                 rows.append({i: v for i, v in cells.items() if v[1] != ""})
                 row.clear()
-                if len(rows) > SHEET_ROWS:
+                if len(rows) > bounds.sheet_rows:
+                    partial = True
                     break
     if not rows or not rows[0]:
         return Found(error="the sheet is empty", bucket="degraded")
@@ -275,27 +332,27 @@ def read_excel(file: BinaryIO) -> Found:
     for i in range(width):
         seen = {r[i][0] for r in rows[1:] if i in r}
         classes.append("any" if not seen else "decimal" if seen == {"int", "decimal"} else next(iter(seen)) if len(seen) == 1 else "text")
-    return Found(head, classes, has_header=True, rows=len(rows) - 1)
+    return Found(head, classes, has_header=True, rows=len(rows) - 1, partial=partial)
 
 
-def profiled(file: BinaryIO, path: str | None, fmt: str, encoding: str, **options) -> Found:
+def profiled(file: BinaryIO, path: str | None, fmt: str, encoding: str, bounds: Bounds = Bounds(), **options) -> Found:
     """By format; formats that are only catalogued give an empty Found."""
     text = "utf-8" if fmt == "gzip" and encoding == "latin-1" else encoding
     if fmt in ("csv", "tsv"):
-        return read_csv(file, encoding, **options)
+        return read_csv(file, encoding, bounds=bounds, **options)
     if fmt == "gzip":
-        found = read_csv(file, text, gzipped=True, types=False)
+        found = read_csv(file, text, gzipped=True, types=False, bounds=bounds)
         return Found(found.names, None, found.delimiter, found.quote, found.has_header, found.rows, depth=1)
     if fmt == "parquet":
         return read_parquet(file)
     if fmt in ("json", "jsonl"):
-        return read_json(file, encoding, fmt == "jsonl")
+        return read_json(file, encoding, fmt == "jsonl", bounds)
     if fmt == "sqlite":
         return read_sqlite(file, path)
     if fmt == "xml":
-        return read_xml(file)
+        return read_xml(file, bounds)
     if fmt == "excel":
-        return read_excel(file)
+        return read_excel(file, bounds)
     if fmt == "zip":
-        return read_zip(file)
+        return read_zip(file, bounds)
     return Found()

@@ -5,11 +5,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from shapewright.operators import refine, running, structure
+from shapewright.operators import refine, structure
 from shapewright.plans.scan import scan
 from shapewright.sources import bytelevel as by
 from shapewright.sources import readers
-from shapewright.sources.listing import byte_ceiling, count_ceiling
 
 
 def book(rows: str, shared=(), formats="", cells="") -> io.BytesIO:
@@ -86,24 +85,12 @@ def test_json_and_xml():
     assert readers.read_json(io.BytesIO(b'\n{"b": 1}\n{"a": 2}\n'), "utf-8", True).names == ["b", "a"]
     assert readers.read_json(io.BytesIO(b'{"z": {"y": 1}}'), "utf-8", False).names == ["z"]
     deep = b"<?xml version='1.0'?>" + b"".join(b"<e%d>" % i for i in range(9)) + b"".join(b"</e%d>" % i for i in range(8, -1, -1))
-    assert len(readers.read_xml(io.BytesIO(deep)).names) == readers.XML_DEPTH + 1
+    assert len(readers.read_xml(io.BytesIO(deep)).names) == readers.Bounds().xml_depth + 1
     assert readers.read_xml(io.BytesIO(b"<?xml version='1.0'?><a><b>")).bucket == "degraded"
     big = b"<?xml version='1.0'?><r>" + b"<i><v>1</v></i>" * 60_000 + b"</r>"
     assert readers.read_xml(io.BytesIO(big)).names == ["r", "r/i", "r/i/v"]
 
 
-def test_ceilings_and_running_totals(spark):
-    files = spark.range(2_500).select((F.col("id") * 7).alias("file_id"), F.format_string("f%05d", F.col("id")).alias("path"), (F.col("id") % 5 + 1).alias("size_bytes"))
-    assert [r.path for r in count_ceiling(files, 2).collect()] == ["f00000", "f00001"]
-    found = byte_ceiling(files, 30).collect()
-    assert [(r.reason_code, r.locus, r.found) for r in found] == [("BYTE_CEILING", "f00010", "31 bytes")]
-    got = {r.file_id: r.running for r in running.running_total(files, "file_id", F.col("size_bytes"), 10).collect()}
-    total = 0
-    for i in range(2_500):
-        total += i % 5 + 1
-        assert got[i * 7] == total
-
-
 def test_family_overlaps(spark):
     rows = [(0, ["a", "b"], None), (1, ["b", "a"], None), (2, ["a", "b", "c"], None), (3, ["z"], None)]
     files = spark.createDataFrame(rows, "file_id long, norm_names array<string>, type_classes array<string>")
