@@ -10,8 +10,8 @@ with a backslash put into any "<|" of a role or text ("<\\|" becomes "<\\\\|", a
 the texts can be read back. loss lists the spans of the assistants' texts, in code points of the formatted string.
 
 Defined cases: null texts and roles are empty; a null tree id is a tree; a parent that isn't there makes its message a root; repeated
-rows of a conversation table are turns of their own, ordered by turn, role, text (nulls first); a cycle of replies is an error; an
-empty table gives an empty one. One conversation is one value: it is put together in one task, from a sorted stream.
+rows of a conversation table are turns of their own, ordered by turn, role, text (nulls first); messages whose
+replies run in a circle, or lead into one, have no root and so are on no path; an empty table gives an empty one. One conversation is one value: it is put together in one task, from a sorted stream.
 """
 
 from __future__ import annotations
@@ -55,6 +55,10 @@ def key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
 
+#: Steps upwards from which on it is asked whether replies run in a circle.
+EVEN_LOOPS = 32
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """Of messages (tree, msg, parent): rows (tree, leaf, msg, up), up counting from the leaf's 0 to its root."""
     nodes = messages.select("tree", "msg", "parent")
@@ -62,10 +66,16 @@ def paths(messages: DataFrame) -> DataFrame:
     jump = cut(nodes.join(known, ["tree", "parent"]).select("tree", "msg", F.col("parent").alias("above")), "replies")
     leaves = nodes.join(known_parents(nodes), ["tree", "msg"], "left_anti")
     out, reach = leaves.select("tree", F.col("msg").alias("leaf"), "msg", F.lit(0).cast("bigint").alias("up")), 1
-    most = nodes.count()
+    sizes = nodes.groupBy("tree").agg(F.count("*").alias("n"))
     while not jump.isEmpty():
-        if reach > 2 * most:
-            raise ValueError("the replies of a tree run in a cycle")
+        if reach >= EVEN_LOOPS:  # nothing is as far above a message as its tree has messages, unless replies run in a circle
+            far = cut(jump.join(sizes, "tree").select("tree", "msg", "above", (F.col("n") <= reach).alias("endless")), "replies")
+            lost = far.where("endless").select("tree", F.col("msg").alias("leaf"))
+            if not lost.isEmpty():
+                out = cut(out.join(lost, ["tree", "leaf"], "left_anti"), "paths")
+            jump = far.where("NOT endless").drop("endless")
+            if jump.isEmpty():
+                break
         out = cut(out.unionByName(out.join(jump, ["tree", "msg"]).select("tree", "leaf", F.col("above").alias("msg"), (F.col("up") + reach).alias("up"))), "paths")
         further = jump.select("tree", F.col("msg").alias("above"), F.col("above").alias("top"))
         jump = cut(jump.join(further, ["tree", "above"]).select("tree", "msg", F.col("top").alias("above")), "replies")

@@ -49,10 +49,11 @@ def test_branches_are_ranked_by_score(spark):
     assert {(r.leaf, r.rank) for r in both} == {(4, 1), (5, 2)}
 
 
-def test_a_cycle_is_an_error(spark):
-    messages = spark.createDataFrame([("a", 1, 2), ("a", 2, 1)], "tree string, msg long, parent long")
-    with pytest.raises(ValueError, match="cycle"):
-        chat.paths(messages)
+def test_circles_have_no_path(spark):
+    rows = [("b", 1, None), ("b", 2, 1), *[("d", i, i - 1 if i else None) for i in range(90)]]
+    circles = [("a", 1, 2), ("a", 2, 1), ("b", 5, 6), ("b", 6, 7), ("b", 7, 5), ("b", 8, 7), ("b", 9, 8), ("d", 200, 200), ("d", 201, 200)]
+    messages = spark.createDataFrame(rows + circles, "tree string, msg long, parent long")
+    assert {tuple(r) for r in chat.paths(messages).collect()} == brute_paths(rows)
 
 
 def expected(rows):
