@@ -15,6 +15,7 @@ import shutil
 import sqlite3
 import tempfile
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -162,11 +163,10 @@ def class_counts(spark, sf_dir):
     """(lang, cls, n, first) of each document's tokens: the class of a value, counted in its row."""
 
     def made(r: dict) -> list[dict]:
-        n: dict[str, int] = {}
-        for t in re.split("[ \t\n]+", r["text"] or ""):
+        n: Counter = Counter()
+        for t, k in Counter(re.split("[ \t\n]+", r["text"] or "")).items():
             if t:
-                cls = classes.of_value(t)
-                n[cls] = n.get(cls, 0) + 1
+                n[classes.of_value(t)] += k
         return [{"lang": r["lang"], "cls": c, "n": k, "first": r["doc_id"]} for c, k in n.items()]
 
     each = of_rows(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "lang string, cls string, n long, first long", made)
