@@ -49,11 +49,3 @@ def disagreement_findings(found: DataFrame, families: DataFrame) -> DataFrame:
     why = F.format_string("Files of family %s disagree on the type of column '%s': %s. Most say %s.", F.col("family_id"), F.col("name"), told, F.col("majority"))
     one = finding("TYPE_MISMATCH", "WARN", F.format_string("column '%s' (family %s)", "name", "family_id"), F.col("majority"), told, why, F.col("total"))
     return disagreements(found, families).orderBy("family_id", "name").select(one.alias("f")).select("f.*")
-
-
-def observations(table: DataFrame) -> DataFrame:
-    """(column, rows, nulls, null_fraction) of a table: what its columns lack, as an observation without a verdict."""
-    names = table.columns
-    counts = table.agg(F.count("*").alias("__n"), *[F.count(F.col(c)).alias(f"__{i}") for i, c in enumerate(names)])
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col("__n").alias("rows"), (F.col("__n") - F.col(f"__{i}")).alias("nulls")) for i, c in enumerate(names)]))
-    return counts.select(rows.alias("x")).select("x.*", F.coalesce(F.try_divide("x.nulls", "x.rows"), F.lit(0.0)).alias("null_fraction"))

@@ -453,15 +453,22 @@ def byte_ceiling(spark, sf_dir):
     return spark.createDataFrame([(f[0], f[2], f[4]) for f in ceilings(spark, sf_dir).findings], "reason_code string, locus string, found string")
 
 
-def _null_sql(name: str, columns: list[str]) -> str:
-    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls FROM {name}" for c in columns)
+@query("""SELECT * FROM (VALUES ('a.csv', 'id', 1, 0.25), ('a.csv', 'name', 2, 0.5), ('a.csv', 'n', 0, 0.0), ('b.tsv', 'id', 0, 0.0), ('b.tsv', 'name', 3, 1.0), ('c.parquet', 'x', NULL, NULL)) t(file, "column", nulls, null_fraction)""")
+def null_observation(spark, sf_dir):
+    """What share of each column's values is empty among the rows that were typed, as an observation; of footers nothing is said."""
+
+    def write(folder: str) -> None:
+        import pyarrow.parquet as pq
 
+        put(folder, "a.csv", "id,name,n\n1,,2\n2,b,3\n3, ,4\n,d,5\n")
+        put(folder, "b.tsv", "id\tname\n1\t\n2\t\n3\t\n")
+        pq.write_table(pa.table({"x": [1, None]}), os.path.join(folder, "c.parquet"))
 
-@query(f"SELECT *, CASE WHEN rows = 0 THEN 0.0 ELSE nulls / rows END AS null_fraction FROM ({_null_sql('(SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))', ['doc_id', 'lang', 'quality', 'toxic'])})")
-def null_observation(spark, sf_dir):
-    """What share of each column is null, as an observation."""
-    joined = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "lang", "quality", "toxic")
-    return refine.observations(joined)
+    def made(folder: str) -> DataFrame:
+        s = scan(spark, folder)
+        return s.columns.join(s.verdicts.select("file_id", F.substring_index("path", "/", -1).alias("file")), "file_id").select("file", F.col("norm_name").alias("column"), "nulls", "null_fraction")
+
+    return written(spark, write, made)
 
 
 @query("SELECT event_id FROM (SELECT event_id, CAST(event_id + 1 AS HUGEINT) AS n FROM events) WHERE n <= 2000 OR (n * 2654435761 % 4294967296) * (n - 1000) < 1000::HUGEINT * 4294967296")
