@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from enum import StrEnum
+from functools import lru_cache, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,6 +102,17 @@ def where(condition: Column, one: Column) -> Column:
     return F.when(condition, F.array(one))
 
 
+def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
+    """make, whose columns are kept by its arguments: long expressions take a second to build, call by call to the JVM that holds them."""
+    kept = lru_cache(maxsize=64)(lambda jvm, *args: make(*args))
+
+    @wraps(make)
+    def run(*args) -> Column:
+        return kept(id(SparkContext._gateway), *args)
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """body(value), in which value is worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
