@@ -105,3 +105,32 @@ def test_both_ways_of_scoring(monkeypatch, sparse):
     monkeypatch.setattr(topk, "SPARSE", sparse)
     rng = np.random.default_rng(6)
     shares(rng.normal(size=(700, 6)) * rng.lognormal(0, 1, (700, 1)), block=64)
+
+
+def test_blocks_are_as_narrow_as_their_numbers():
+    for value, width in ((127, 1), (-128, 1), (128, 2), (-32769, 4), (2**31, 8), (-(2**63), 8)):
+        v = np.array([[value, 1], [0, -1]], "<i8")
+        packed = topk.narrow([row.tobytes() for row in v])
+        assert len(packed) == 4 * width and topk.unpacked(packed, 2, 2).tolist() == v.tolist()
+    assert topk.narrow([b"", b""]) == b"" and topk.unpacked(b"", 2, 0).shape == (2, 0)
+
+
+def test_a_task_holds_a_few_blocks(spark, monkeypatch):
+    """What a task is sent at once is bounded by blocks, and a group of queries by bytes, not by the table."""
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 256)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 512)
+    rows = as_floats([(i, list(v)) for i, v in enumerate(np.random.default_rng(8).normal(size=(600, 4)))])
+    df = spark.createDataFrame([(i, np.array(v).astype("<i8").tobytes(), 4, 1.0) for i, v in rows], "id long, vector binary, dim int, norm double")
+    blocks = topk.packed(df, "blocks", topk.BLOCK_BYTES, 1)
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    with topk.few_rows(spark):
+        sent = [r.n for r in blocks.coalesce(1).mapInArrow(counted, "n long").collect()]
+    assert max(sent) <= topk.BATCH_BLOCKS < sum(sent) == blocks.count()
+    assert blocks.selectExpr("max(octet_length(vectors) / n)").first()[0] == 4  # a byte a number
+    assert set(run(spark, rows)) == brute(rows)
