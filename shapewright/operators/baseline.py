@@ -98,8 +98,9 @@ def from_golden(spark: SparkSession, path: str) -> Baseline:
     from shapewright.sources.listing import expand
     from shapewright.sources.profile import profile
 
-    found = expand(spark, path)
-    row = profile(spark, [(0, *found[0])], persist=False).first() if len(found) == 1 else None
+    parts: dict[str, list[tuple[str, int]]] = {}
+    found = expand(spark, path, parts)
+    row = profile(spark, [(0, *found[0])], persist=False, parts=parts).first() if len(found) == 1 else None
     if row is None or row.bucket == "refused" or not row.norm_names:
         raise ValueError(f"Cannot use {path} as a golden file: {row.error if row and row.error else 'no columns were found'}")
     types = row.type_classes or [None] * len(row.raw_names)

@@ -95,11 +95,28 @@ def dealt(files: list[tuple[int, str, int]], tasks: int) -> list[list[tuple[int,
     return [share for _, _, share in sorted(shares, key=lambda s: s[1])]
 
 
-def profile(spark: SparkSession, files: list[tuple[int, str, int]], persist: bool = True, bounds: readers.Bounds = readers.Bounds(), **options) -> DataFrame:
+def merged(path: str, size: int, rows: list[dict]) -> dict:
+    """The row of a folder that is a table, from those of its parts by path: the first one's names and types, which all must have."""
+    first = rows[0]
+    row = first | {"path": path, "size_bytes": size, "ext": PurePosixPath(path).suffix.lower()}
+    if all(r["row_count_estimate"] is not None for r in rows):
+        row["row_count_estimate"] = sum(r["row_count_estimate"] for r in rows)
+    odd = next((r for r in rows if r["bucket"] != "profiled"), None)
+    if odd is not None:
+        return row | {"bucket": odd["bucket"], "error": f"{PurePosixPath(odd['path']).name}: {odd['error'] or odd['format_detected']}"}
+    odd = next((r for r in rows if (r["format_detected"], r["raw_names"], r["type_classes"]) != (first["format_detected"], first["raw_names"], first["type_classes"])), None)
+    return row if odd is None else row | {"bucket": "degraded", "error": f"{PurePosixPath(odd['path']).name} has other columns than {PurePosixPath(first['path']).name}"}
+
+
+def profile(spark: SparkSession, files: list[tuple[int, str, int]], persist: bool = True, bounds: readers.Bounds = readers.Bounds(), parts: dict[str, list[tuple[str, int]]] | None = None, **options) -> DataFrame:
     """FILES for a listing (file_id, path, size_bytes).
 
     Files that workers see under their path are streamed from there, block by block; those of another store are read by Spark. Up to
-    FEW files are profiled at once, by one job, and their rows kept on the driver: what follows then needs no shuffle."""
+    FEW files are profiled at once, by one job, and their rows kept on the driver: what follows then needs no shuffle. A folder in
+    parts is one of the files: each of its files is profiled, and their rows become one."""
+    tables = {f[0]: f for f in files if f[1] in (parts or {})}
+    few = len(files) <= FEW
+    files = [x for f in files for x in ([(f[0], *part) for part in parts[f[1]]] if f[0] in tables else [f])]
     local = [f for f in files if "://" not in f[1]]
     far = [f for f in files if "://" in f[1]]
 
@@ -121,7 +138,14 @@ def profile(spark: SparkSession, files: list[tuple[int, str, int]], persist: boo
         same = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):/+", "$1:/")  # noqa: E731  stores differ in how they write their root
         read = profile_of(ids.join(content, same("path") == same("p")), bounds, **options)
         out = read if out is None else out.unionByName(read)
-    if len(files) <= FEW:
+    if tables:
+
+        def whole(key: tuple, rows: pa.Table) -> pa.Table:
+            _, path, size = tables.get(key[0].as_py(), (None, None, None))
+            return rows if path is None else pa.Table.from_batches([_rows([merged(path, size, sorted(rows.to_pylist(), key=lambda r: r["path"]))])])
+
+        out = out.groupBy("file_id").applyInArrow(whole, FILES)
+    if few:
         return spark.createDataFrame(out.toArrow().cast(SCHEMA), FILES).coalesce(1)
     return out.persist() if persist else out
 
