@@ -27,6 +27,7 @@ def test_entry(spark):
 #: Queries that read the folder of tables as a fileset.
 OVER_TABLES = [
     "accounting",
+    "name_mode_diff",
 ]
 
 
