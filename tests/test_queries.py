@@ -28,6 +28,7 @@ def test_entry(spark):
 OVER_TABLES = [
     "accounting",
     "name_mode_diff",
+    "parquet_schema_profile",
 ]
 
 
