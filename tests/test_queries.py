@@ -29,6 +29,7 @@ OVER_TABLES = [
     "accounting",
     "name_mode_diff",
     "parquet_schema_profile",
+    "position_name_swap",
 ]
 
 
