@@ -30,6 +30,7 @@ OVER_TABLES = [
     "name_mode_diff",
     "parquet_schema_profile",
     "position_name_swap",
+    "scan_verdicts",
 ]
 
 
