@@ -31,6 +31,7 @@ OVER_TABLES = [
     "parquet_schema_profile",
     "position_name_swap",
     "scan_verdicts",
+    "structural_relation_pairs",
 ]
 
 
