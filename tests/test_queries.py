@@ -32,6 +32,7 @@ OVER_TABLES = [
     "position_name_swap",
     "scan_verdicts",
     "structural_relation_pairs",
+    "check_partition",
 ]
 
 
