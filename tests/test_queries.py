@@ -33,6 +33,7 @@ OVER_TABLES = [
     "scan_verdicts",
     "structural_relation_pairs",
     "check_partition",
+    "describe_diff",
 ]
 
 
