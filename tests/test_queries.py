@@ -34,6 +34,7 @@ OVER_TABLES = [
     "structural_relation_pairs",
     "check_partition",
     "describe_diff",
+    "position_mode_diff",
 ]
 
 
