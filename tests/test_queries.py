@@ -35,6 +35,7 @@ OVER_TABLES = [
     "check_partition",
     "describe_diff",
     "position_mode_diff",
+    "rename_evidence",
 ]
 
 
