@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__
 from shapewright.plans.queries import QUERIES, SQL, TABLES
 from shapewright.plans.scan import scan
+from shapewright.sources.listing import expand
 from tests.oracle import connect, duck_rows, spark_rows
 
 SF = "/root/testdata/sf0.01"
@@ -79,3 +80,33 @@ def test_a_table_whose_parts_differ(spark, tmp_path):
     pq.write_table(pa.table({"b": ["x"]}), at / "2.parquet")
     row = scan(spark, f"{tmp_path}/*.parquet").verdicts.first()
     assert row.bucket == "degraded" and row.error == "2.parquet has other columns than 0.parquet"
+
+
+#: Queries over tables whose folder is given as Hadoop writes it, file:/x.
+OVER_FILE_URI = [
+    "parquet_schema_profile",
+]
+
+
+@pytest.mark.parametrize("name", OVER_FILE_URI)
+def test_tables_by_a_path_with_a_scheme(spark, in_parts, name):
+    sf, con = in_parts
+    got, columns = spark_rows(QUERIES[name](spark, f"file:{sf}"))
+    want, names = duck_rows(con, SQL[name])
+    assert columns == names
+    assert got == want
+
+
+def test_paths_without_the_store(spark, tmp_path):
+    pq.write_table(pa.table({"a": [1]}), tmp_path / "t.parquet")
+    size = (tmp_path / "t.parquet").stat().st_size
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.spelled.link./in", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://spelled")
+    try:
+        for given in ("viewfs:/in/*.parquet", "viewfs:///in/*.parquet", "viewfs://spelled/in/*.parquet", "viewfs:///in//t.parquet", "viewfs:///in/"):
+            assert expand(spark, given) == [("viewfs://spelled/in/t.parquet", size)]
+        for given in (f"file:{tmp_path}/*.parquet", f"file://{tmp_path}/*.parquet", f"{tmp_path}/*.parquet"):
+            assert expand(spark, given) == [(f"{tmp_path}/t.parquet", size)]
+    finally:
+        conf.unset("fs.defaultFS")
