@@ -86,6 +86,7 @@ def test_a_table_whose_parts_differ(spark, tmp_path):
 OVER_FILE_URI = [
     "parquet_schema_profile",
     "position_name_swap",
+    "scan_verdicts",
 ]
 
 
