@@ -88,6 +88,7 @@ OVER_FILE_URI = [
     "position_name_swap",
     "scan_verdicts",
     "structural_relation_pairs",
+    "check_partition",
 ]
 
 
