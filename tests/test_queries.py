@@ -89,6 +89,7 @@ OVER_FILE_URI = [
     "scan_verdicts",
     "structural_relation_pairs",
     "check_partition",
+    "describe_diff",
 ]
 
 
